@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -69,6 +71,19 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/barflow/{label}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers; needed by batch Python operators only."""
+    context = spark.sparkContext
+    if getattr(context, "_barflow_shipped", False):
+        return
+    folder = tempfile.TemporaryDirectory(prefix="barflow-", ignore_cleanup_errors=True)
+    atexit.register(folder.cleanup)
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(f"{folder.name}/barflow", "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive)
+    context._barflow_shipped = True
+
+
 def estimated_bytes(*frames: DataFrame) -> int:
     """Catalyst's size estimate, summed; no job is run."""
     return sum(int(str(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for f in frames)
