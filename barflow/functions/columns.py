@@ -47,3 +47,13 @@ def finite(c: Column) -> Column:
 def safe_ratio(num: Column, den: Column, default: float = 0.0) -> Column:
     """num / den where den is positive, else the default."""
     return F.when(den > 0, num / den).otherwise(F.lit(default))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over rows where both are present, NULL where one is constant.
+
+    The built-in raises on a constant side in ANSI mode.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

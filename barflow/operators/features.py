@@ -12,7 +12,7 @@ from barflow.operators import indicators as I
 from barflow.operators.asof import asof_backward
 from barflow.operators.bars import bar_series
 from barflow.operators.quantiles import quantiles
-from barflow.operators.series import null_safe_join
+from barflow.operators.series import lookup
 from barflow.operators.windows import forward_fill
 
 REGIMES = ("regime_low_vol", "regime_bull", "regime_bear", "regime_high_vol")
@@ -58,7 +58,7 @@ def regimes(
     Pass `thresholds` (asset, p25, p75) fitted on a training part to avoid look-ahead.
     """
     cut = regime_thresholds(df, std) if thresholds is None else thresholds
-    out = null_safe_join(df, cut, ["asset"])
+    out = lookup(df, cut, ["asset"])
     s, m = F.col(std), F.col(mean)
     warm = s.isNotNull()
     low, high = warm & (s < F.col("p25")), warm & (s >= F.col("p75"))

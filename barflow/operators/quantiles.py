@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barflow import session
-from barflow.operators.series import arrange, null_safe_join
+from barflow.operators.series import arrange, lookup, null_safe_join
 
 
 def quantiles(
@@ -39,7 +39,7 @@ def quantiles(
     sizes = tall.groupBy(*group).agg(F.count("_v").alias("_n"))
     tally = tall.filter(F.col("_v").isNotNull()).groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_m"))
     ranked = arrange(tally, group, ["_v"], bound=[df]).running(_upto=("sum", F.col("_m"))).frame()
-    at = null_safe_join(ranked, sizes, group)
+    at = lookup(ranked, sizes, group)
     first, last = F.col("_upto") - F.col("_m"), F.col("_upto") - 1
     picks = []
     for name, p in probs.items():

@@ -35,6 +35,18 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
 
 
+def lookup(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left-join per-key statistics, such as one row per asset.
+
+    Before it runs, Spark takes an aggregate for nearly as large as its input and
+    would shuffle `df` by a handful of keys. Where the input is large the statistics
+    are written first: Spark then knows their size, and broadcasts them if small.
+    """
+    if session.input_bytes(stats) > session.setting(df.sparkSession, session.SINGLE_TASK_BYTES):
+        stats = session.settle(stats, "stats")
+    return null_safe_join(df, stats, keys)
+
+
 @dataclass(frozen=True)
 class Series:
     df: DataFrame
@@ -144,18 +156,16 @@ def _blocked(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> Se
     runs = laid.groupBy(*keys, "_part").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     per_key = Window.partitionBy(*keys)
     before = per_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts_path = session.scratch(spark, "starts")
-    runs.select(
+    starts = runs.select(
         *keys,
         "_part",
         "_first",
         F.min("_first").over(per_key).alias(SID),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-    ).write.parquet(starts_path)
-    # One row per key and file. Read back, its size is known, so Spark broadcasts
-    # it when it is small and shuffles when there are very many keys.
+    )
+    # One row per key and file: broadcast unless there are very many keys.
     placed = (
-        null_safe_join(laid, spark.read.parquet(starts_path), [*keys, "_part"])
+        lookup(laid, starts, [*keys, "_part"])
         .withColumn(POS, F.col("_before") + F.col("_mid") - F.col("_first"))
         .withColumn(BLK, F.floor(F.col(POS) / F.lit(rows)))
         .drop("_mid", "_part", "_first", "_before")

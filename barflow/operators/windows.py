@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.operators.series import Series, arrange, null_safe_join
+from barflow.operators.series import Series, arrange, lookup, null_safe_join
 
 
 def dedup(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], keep: str = "first") -> DataFrame:
@@ -72,15 +72,20 @@ def on_spine(df: DataFrame, keys: Sequence[str], bucket: str, step: str, fill: d
 
 
 def split(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], train: float = 0.70, val: float = 0.15
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    train: float = 0.70,
+    val: float = 0.15,
+    bound: Sequence[DataFrame] = (),
 ) -> DataFrame:
     """Chronological split: int(train*n) rows, then int(val*n), then the rest."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    placed = arrange(df, keys, order).position("_i").frame()
+    placed = arrange(df, keys, order, bound).position("_i").frame()
     cut1 = F.floor(F.col("_n").cast("double") * F.lit(float(train)))
     cut2 = cut1 + F.floor(F.col("_n").cast("double") * F.lit(float(val)))
     return (
-        null_safe_join(placed, counts, list(keys))
+        lookup(placed, counts, list(keys))
         .withColumn(
             "split",
             F.when(F.col("_i") < cut1, "train").when(F.col("_i") < cut2, "val").otherwise("test"),

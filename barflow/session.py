@@ -87,3 +87,16 @@ def ship(spark: SparkSession) -> None:
 def estimated_bytes(*frames: DataFrame) -> int:
     """Catalyst's size estimate, summed; no job is run."""
     return sum(int(str(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for f in frames)
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write a result once and read it back: computed once, and of known size."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Summed size of the tables a plan reads; unlike its estimate, joins do not inflate it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
