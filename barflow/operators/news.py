@@ -253,10 +253,3 @@ def coverage(df: DataFrame) -> DataFrame:
 
 def daily_counts(df: DataFrame, ts: str = "timestamp_utc") -> DataFrame:
     return df.groupBy("asset", F.date_trunc("day", ts).alias("day")).agg(F.count(F.lit(1)).alias("articles"))
-
-
-def value_counts(df: DataFrame, col: str, n: int | None = None) -> DataFrame:
-    """Counts per value, most frequent first, ties by value; with `n` only the top n."""
-    out = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    ordered = out.orderBy(F.col("n").desc(), "value")
-    return ordered.limit(n) if n else ordered

@@ -222,10 +222,10 @@ def path_stats(trades: DataFrame, bars: DataFrame, trade_key: Sequence[str] = ("
     placed = arrange(bars.select("asset", "ts", "high", "low", "close"), ["asset"], ["ts"]).position("_p").frame()
     at = placed.select("asset", "ts", "_p")
     spans = asof_forward(
-        trades.select(*key, "entry_time", "exit_time"), at.withColumnRenamed("_p", "_lo"), ["asset"], ["_lo"], left_ts="entry_time"
+        trades.select(*dict.fromkeys([*key, "asset", "entry_time", "exit_time"])), at.withColumnRenamed("_p", "_lo"), ["asset"], ["_lo"], left_ts="entry_time"
     )
     spans = asof_backward(spans, at.withColumnRenamed("_p", "_hi"), ["asset"], ["_hi"], left_ts="exit_time")
-    spans = spans.select(*key, "_lo", "_hi").filter(F.col("_lo") <= F.col("_hi"))
+    spans = spans.select(*dict.fromkeys([*key, "asset"]), "_lo", "_hi").filter(F.col("_lo") <= F.col("_hi"))
     longest = spans.agg(F.max(F.col("_hi") - F.col("_lo") + 1)).first()[0] or 1
     levels = int(longest).bit_length()
     level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_k")
@@ -245,7 +245,7 @@ def path_stats(trades: DataFrame, bars: DataFrame, trade_key: Sequence[str] = ("
     )
     wanted = (
         spans.select("*", level)
-        .select(*key, "_k", F.explode(F.filter(nodes, lambda x: x.isNotNull())).alias("_node"))
+        .select(*dict.fromkeys([*key, "asset"]), "_k", F.explode(F.filter(nodes, lambda x: x.isNotNull())).alias("_node"))
     )
     found = wanted.join(runs, ["asset", "_k", "_node"]).groupBy(*key).agg(
         F.max("high").alias("high_during_trade"),

@@ -438,7 +438,7 @@ def ridge_pipeline(spark, sf):
     medians = M.fit_median(train, ["asset"], SC.RIDGE)
     filled = M.impute(data, medians, ["asset"], SC.RIDGE)
     scaler = M.fit_scaler(filled.filter("split = 'train'"), ["asset"], SC.RIDGE)
-    scaled = M.scale(filled, scaler, ["asset"], SC.RIDGE)
+    scaled = session.settle(M.scale(filled, scaler, ["asset"], SC.RIDGE), "scaled")
     model = M.fit_ridge(scaled.filter("split = 'train'"), ["asset"], SC.RIDGE, "ret_4h")
     out = M.predict_linear(scaled, model, ["asset"], SC.RIDGE, E.P).withColumnRenamed("ret_4h", E.Y)
     return tidy(E.metrics(out, ["asset", "split"]))

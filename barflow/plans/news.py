@@ -8,6 +8,7 @@ from barflow.functions import text as TX
 from barflow.functions.output import tidy
 from barflow.operators import features as X
 from barflow.operators import news as N
+from barflow.operators import reports as R
 from barflow.plans.oracle import ARTICLES, BARS_H, WA, frame, rd, rds, ts, with_
 from barflow.plans.registry import query
 from barflow.sources import adapters as A
@@ -428,12 +429,12 @@ def _(spark, sf):
     with_(ARTICLES) + "SELECT domain AS value, count(*) AS n FROM a GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15",
 )
 def _(spark, sf):
-    return N.value_counts(A.articles(spark, sf), "domain", 15)
+    return R.value_counts(A.articles(spark, sf), "domain", 15)
 
 
 @query("a24_countries", with_(ARTICLES) + "SELECT sourcecountry AS value, count(*) AS n FROM a GROUP BY 1")
 def _(spark, sf):
-    return N.value_counts(A.articles(spark, sf), "sourcecountry")
+    return R.value_counts(A.articles(spark, sf), "sourcecountry")
 
 
 @query(
