@@ -31,14 +31,14 @@ def resample(
         when = F.struct(F.col(ts), F.col(tie)) if tie else F.col(ts)
         return F.when(F.col(c).isNotNull(), when)
 
-    out = df.groupBy("asset", F.window(ts, step).start.alias("_start")).agg(
+    out = df.groupBy("asset", F.window(ts, step).alias("_w")).agg(
         F.min_by(opens, at(opens)).alias("open"),
         F.max(highs).alias("high"),
         F.min(lows).alias("low"),
         F.max_by(closes, at(closes)).alias("close"),
         F.sum(volume).alias("volume"),
     )
-    return out.dropna(subset=list(OHLC)).select("asset", F.col("_start").alias("ts"), *OHLC, "volume")
+    return out.dropna(subset=list(OHLC)).select("asset", F.col("_w.start").alias("ts"), *OHLC, "volume")
 
 
 def bar_series(bars: DataFrame) -> Series:

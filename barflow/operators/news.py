@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,25 +92,25 @@ def score_with(
     return df.mapInPandas(run, schema)
 
 
+def hourly_columns() -> list[Column]:
+    s = F.col("sentiment_score")
+    return [
+        F.avg(s).alias("sentiment_mean"),
+        F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("sentiment_std"),
+        F.count("url").cast("double").alias("news_volume"),
+        F.avg(F.when(s == 1, 1.0).otherwise(0.0)).alias("positive_ratio"),
+        F.avg(F.when(s == -1, 1.0).otherwise(0.0)).alias("negative_ratio"),
+        F.avg("confidence").alias("avg_confidence"),
+    ]
+
+
 def hourly(df: DataFrame, ts: str = "timestamp_utc") -> DataFrame:
     """Sentiment of each asset and non-empty hour.
 
     Volume counts articles with a URL while the ratios divide by all articles; the
     deviation of a single article is 0.
     """
-    s = F.col("sentiment_score")
-    return (
-        df.filter(F.col(ts).isNotNull())
-        .groupBy("asset", F.date_trunc("hour", ts).alias("ts"))
-        .agg(
-            F.avg(s).alias("sentiment_mean"),
-            F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("sentiment_std"),
-            F.count("url").cast("double").alias("news_volume"),
-            F.avg(F.when(s == 1, 1.0).otherwise(0.0)).alias("positive_ratio"),
-            F.avg(F.when(s == -1, 1.0).otherwise(0.0)).alias("negative_ratio"),
-            F.avg("confidence").alias("avg_confidence"),
-        )
-    )
+    return df.filter(F.col(ts).isNotNull()).groupBy("asset", F.date_trunc("hour", ts).alias("ts")).agg(*hourly_columns())
 
 
 def shift(buckets: DataFrame, mode: str = "bucket") -> DataFrame:

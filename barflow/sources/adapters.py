@@ -19,7 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return ticks_of(table(spark, sf_dir, "events"))
+
+
+def ticks_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_type").alias("asset"),
         "ts",
         F.col("value").alias("price"),
@@ -60,13 +64,16 @@ def macro_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scored article per event; a user's events within an hour share a URL."""
-    e = table(spark, sf_dir, "events")
+    return articles_of(table(spark, sf_dir, "events"))
+
+
+def articles_of(events: DataFrame) -> DataFrame:
     score = (
         F.when(F.col("event_type").isin("purchase", "signup"), 1)
         .when(F.col("event_type") == "error", -1)
         .otherwise(0)
     )
-    return e.select(
+    return events.select(
         "event_id",
         F.col("event_type").alias("asset"),
         F.col("ts").alias("timestamp_utc"),
