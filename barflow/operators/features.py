@@ -166,11 +166,10 @@ def build(
 ) -> DataFrame:
     """The whole feature matrix for all assets as one plan."""
     names = [r.name for r in rules]
-    s = I.apply(bar_series(bars), *price_steps(rules))
-    s = I.atr(I.macd(I.rsi(s)))
-    df = s.frame()
+    priced = I.apply(bar_series(bars), *price_steps(rules))
+    df = I.atr(I.macd(I.rsi(priced.map(lambda d: d.drop(*names))))).frame()
     if rules:
-        df = cross_asset(df.drop(*names), df.select("asset", "ts", *names), rules)
+        df = cross_asset(df, priced.frame().select("asset", "ts", *names), rules)
     df = regimes(df, thresholds).drop("mean_lr_20")
     if macro is not None:
         df = join_macro(df, macro)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barflow import session
 from barflow.operators.asof import asof_backward, asof_forward
 from barflow.operators.series import arrange, lookup
 
@@ -226,6 +227,7 @@ def path_stats(trades: DataFrame, bars: DataFrame, trade_key: Sequence[str] = ("
     )
     spans = asof_backward(spans, at.withColumnRenamed("_p", "_hi"), ["asset"], ["_hi"], left_ts="exit_time")
     spans = spans.select(*dict.fromkeys([*key, "asset"]), "_lo", "_hi").filter(F.col("_lo") <= F.col("_hi"))
+    spans = session.settle(spans, "spans")
     longest = spans.agg(F.max(F.col("_hi") - F.col("_lo") + 1)).first()[0] or 1
     levels = int(longest).bit_length()
     level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_k")

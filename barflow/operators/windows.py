@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barflow import session
 from barflow.operators.series import Series, arrange, lookup, null_safe_join
 
 
@@ -22,10 +23,25 @@ def dedup(df: DataFrame, key: Sequence[str], order: Sequence[str | Column], keep
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 1).drop("_rn")
 
 
-def latest_n(df: DataFrame, keys: Sequence[str], ts: str, n: int, ties: Sequence[str] = ()) -> DataFrame:
-    """The latest n rows per key; trimmed to n per key in each task before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(F.col(ts).desc(), *[F.col(t).desc() for t in ties])
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+def latest_n(
+    df: DataFrame, keys: Sequence[str], ts: str, n: int, ties: Sequence[str] = (), salts: int = 64
+) -> DataFrame:
+    """The latest n rows per key.
+
+    Spark trims to n per key in each task before it shuffles. On large inputs many
+    tasks would still send n rows of a hot key to one; a round over salted keys
+    leaves at most `salts` times n of them.
+    """
+    order = [F.col(ts).desc(), *[F.col(t).desc() for t in ties]]
+
+    def top(d: DataFrame, part: Sequence[str]) -> DataFrame:
+        w = Window.partitionBy(*part).orderBy(*order)
+        return d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+    if session.input_bytes(df) > session.setting(df.sparkSession, session.SINGLE_TASK_BYTES):
+        salt = F.pmod(F.xxhash64(ts, *ties), F.lit(salts))
+        df = top(df.withColumn("_salt", salt), [*keys, "_salt"]).drop("_salt")
+    return top(df, keys)
 
 
 def latest(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:

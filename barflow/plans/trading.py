@@ -349,12 +349,12 @@ def _(spark, sf):
 @query(
     "a39_reconciliation",
     T_SQL
-    + f"SELECT exit_reason, {rd('sum(net_pnl)', 'trade_pnl', 3)}, {rd('sum(net_pnl)', 'portfolio_pnl', 3)}, 0.0::DOUBLE AS difference, true AS ok FROM t GROUP BY 1",
+    + f"SELECT exit_reason, {rd('sum(net_pnl)', 'trade_pnl', 5)}, {rd('sum(net_pnl)', 'portfolio_pnl', 5)}, 0.0::DOUBLE AS difference, true AS ok FROM t GROUP BY 1",
 )
 def _(spark, sf):
     steps = _curve(spark, sf).frame().withColumn("at", F.struct(*TIES))
     out = TR.reconcile(A.trades(spark, sf), steps, ["exit_reason"], ts="at", capital=1_000_000.0)
-    return tidy(out, digits=3)
+    return tidy(out, difference=3, trade_pnl=5, portfolio_pnl=5)
 
 
 # ---- reports -----------------------------------------------------------------------
