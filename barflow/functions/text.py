@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,20 +26,24 @@ LABEL_SCORES = {"positive": 1, "neutral": 0, "negative": -1}
 ALPHAS = tuple(f"alpha_{i}" for i in range(1, 6))
 
 
-def words(items: Sequence[str]) -> Column:
-    return F.array(*[F.lit(w) for w in items])
+def _low(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
 
 
 def mentions(text: Column, items: Sequence[str]) -> Column:
     """Whether the lower-cased text contains any of the items; False for NULL."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.exists(words([w.lower() for w in items]), lambda k: F.contains(low, k))
+    return reduce(lambda a, b: a | b, [F.contains(_low(text), F.lit(w.lower())) for w in items], F.lit(False))
 
 
 def first_phrase(text: Column, phrases: Sequence[str]) -> Column:
-    """The first phrase, in dictionary order, contained in the text; NULL if none is."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.try_element_at(F.filter(words(phrases), lambda p: F.contains(low, F.lower(p))), F.lit(1))
+    """The first phrase, in dictionary order, contained in the text; NULL if none is.
+
+    A chain of cases compiles, lowers the text once and stops at the first hit.
+    """
+    out = F.when(F.lit(False), F.lit(""))
+    for p in phrases:
+        out = out.when(F.contains(_low(text), F.lit(p.lower())), F.lit(p))
+    return out
 
 
 def tagged(tags: Column, asset: str | Column) -> Column:
@@ -66,9 +71,11 @@ def lexicon_score(text: Column, positive: Sequence[str] = POSITIVE, negative: Se
     Score is the sign of positives minus negatives, confidence their gap over their
     sum; empty text or no listed word is neutral with confidence 0.
     """
-    tokens = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+")
-    pos = F.size(F.filter(tokens, lambda t: t.isin(list(positive))))
-    neg = F.size(F.filter(tokens, lambda t: t.isin(list(negative))))
+    def count(words: Sequence[str]) -> Column:
+        # a listed word with no letter on either side
+        return F.regexp_count(_low(text), F.lit(f"(?<![a-z])(?:{'|'.join(words)})(?![a-z])"))
+
+    pos, neg = count(positive), count(negative)
     label = F.when(pos > neg, "positive").when(neg > pos, "negative").otherwise("neutral")
     return F.struct(
         label.alias("label"),

@@ -17,7 +17,7 @@ from barflow.operators.indicators import carry_forward
 from barflow.operators.series import arrange
 from barflow.operators.windows import every_nth, on_spine
 
-MAX_PHRASES = 10_000
+MAX_PHRASES = 1_000
 
 
 def tag_by_phrase(df: DataFrame, phrases: dict[str, Sequence[str]], text: str = "title", url: str = "url") -> DataFrame:

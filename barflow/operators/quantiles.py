@@ -21,9 +21,8 @@ def quantiles(
     ones count each value first (repeats combine before the shuffle), then find the
     values standing at the wanted ranks with a running count.
     """
-    spark = df.sparkSession
     keys = list(keys)
-    if session.estimated_bytes(df) <= session.setting(spark, session.SINGLE_TASK_BYTES):
+    if session.fits_one_task(df):
         agg = df.groupBy(*keys).agg(
             *[
                 F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs.values()])).alias(c)

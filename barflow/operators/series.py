@@ -42,7 +42,7 @@ def lookup(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     would shuffle `df` by a handful of keys. Where the input is large the statistics
     are written first: Spark then knows their size, and broadcasts them if small.
     """
-    if session.input_bytes(stats) > session.setting(df.sparkSession, session.SINGLE_TASK_BYTES):
+    if not session.fits_one_task(stats):
         stats = session.settle(stats, "stats")
     return null_safe_join(df, stats, keys)
 
@@ -132,9 +132,7 @@ def arrange(
     `bound` names frames whose summed size bounds that of `df`, for inputs such as
     joins on unique keys whose own estimate is a product.
     """
-    spark = df.sparkSession
-    size = session.estimated_bytes(*(bound or [df]))
-    if size <= session.setting(spark, session.SINGLE_TASK_BYTES):
+    if session.fits_one_task(*(bound or [df])):
         return Series(df, tuple(keys), tuple(order), blocked=False)
     return _blocked(df, tuple(keys), tuple(order))
 

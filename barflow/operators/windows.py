@@ -38,7 +38,7 @@ def latest_n(
         w = Window.partitionBy(*part).orderBy(*order)
         return d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
-    if session.input_bytes(df) > session.setting(df.sparkSession, session.SINGLE_TASK_BYTES):
+    if not session.fits_one_task(df):
         salt = F.pmod(F.xxhash64(ts, *ties), F.lit(salts))
         df = top(df.withColumn("_salt", salt), [*keys, "_salt"]).drop("_salt")
     return top(df, keys)

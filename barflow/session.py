@@ -98,5 +98,15 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Summed size of the tables a plan reads; unlike its estimate, joins do not inflate it."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def fits_one_task(*frames: DataFrame) -> bool:
+    """Whether the frames together are small enough for one task per key.
+
+    Spark takes a join for the product of its sides. Joins here are on unique keys and
+    cannot outgrow what they read, apart from decompression, so the input counts too.
+    """
+    limit = setting(frames[0].sparkSession, SINGLE_TASK_BYTES)
+    return 4 * sum(input_bytes(f) for f in frames) <= limit or estimated_bytes(*frames) <= limit
