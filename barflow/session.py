@@ -25,13 +25,17 @@ RUNTIME_CONF = {
 # Series whose estimated size is at most this may be sorted by one task per key.
 SINGLE_TASK_BYTES = ("barflow.series.singleTaskBytes", 256 * 1024 * 1024)
 # Rows per block for longer series.
-BLOCK_ROWS = ("barflow.series.blockRows", 250_000)
+BLOCK_ROWS = ("barflow.series.blockRows", 65_536)
 
 _local_scratch: str | None = None
 
 
-def build(app: str = "barflow", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def build(
+    app: str = "barflow", master: str | None = None, partitions: int | None = None, memory: str | None = None
+) -> SparkSession:
     builder = SparkSession.builder.appName(app)
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     if master:
         builder = builder.master(master)
     if partitions:

@@ -26,7 +26,7 @@ def main() -> None:
     from barflow import session
     from barflow.plans import registry
 
-    spark = session.build("bench", f"local[{cpus}]", int(cpus))
+    spark = session.build("bench", f"local[{cpus}]", int(cpus), memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
     queries = registry.queries()
     names = sys.argv[1:] or list(HEADLINE)
