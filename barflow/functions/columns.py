@@ -57,3 +57,28 @@ def correlation(a: Column, b: Column) -> Column:
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a), F.when(both, b)
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
+def hour_fraction(ts: Column) -> Column:
+    """Hour of the day over 24."""
+    return F.hour(ts) / 24.0
+
+
+def month_label(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM")
+
+
+def to_utc(ts: Column, zone: str) -> Column:
+    """A wall-clock time of `zone` as UTC."""
+    return F.to_utc_timestamp(ts, zone)
+
+
+def price_text(c: Column) -> Column:
+    """$1,234.56 above 100, else four decimals; a dash where missing."""
+    text = F.when(c > 100, F.format_number(c, 2)).otherwise(F.format_string("%.4f", c))
+    return F.when(c.isNotNull(), F.concat(F.lit("$"), text)).otherwise("—")
+
+
+def percent_text(c: Column, digits: int = 3) -> Column:
+    """+1.234%; a dash where missing."""
+    return F.when(c.isNotNull(), F.format_string(f"%+.{digits}f%%", c)).otherwise("—")

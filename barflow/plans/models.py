@@ -426,8 +426,8 @@ def _(spark, sf):
     return tidy(m.select("seg", "n", "intercept", F.col("coefficients")[0].alias("w1"), F.col("coefficients")[1].alias("w2")))
 
 
-@query("a37_ridge_pipeline")
-def ridge_pipeline(spark, sf):
+@query("a37_ridge_all_assets")
+def ridge_all_assets(spark, sf):
     """Dataset -> split -> impute -> scale -> ridge -> metrics of every split, all assets at once."""
     bars = A.bars_daily(spark, sf)
     s = I.apply(B.bar_series(bars), I.lagged_returns(), I.rolling_close(), I.momentum(), I.volatility())
@@ -513,3 +513,11 @@ def _(spark, sf):
         "event_id", F.when(F.col("event_type") == "error", "n/a").otherwise(F.col("value").cast("string")).alias("pred_ret")
     )
     return tidy(SC.canonical(raw, {"pred_ret": E.P, "absent": "other"}, numeric=[E.P]))
+
+
+@query("p10_validated_columns", f"SELECT event_type, event_id, {rds('value')} FROM events")
+def _(spark, sf):
+    e = A.table(spark, sf, "events")
+    wanted = ["event_type", "event_id", "value"]
+    found = [c for c in e.columns if c in wanted]
+    return tidy(e.select(*SC.validate_columns(found, wanted, "events", warn=found != wanted)))

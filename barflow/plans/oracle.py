@@ -1,4 +1,4 @@
-"""Pieces of SQL shared by the reference queries (DuckDB dialect)."""
+"""Pieces of SQL shared by the comparison queries (DuckDB dialect)."""
 
 from __future__ import annotations
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barflow.functions import columns as C
 from barflow.functions.output import tidy
 from barflow.operators import bars as B
 from barflow.operators import evaluation as E
@@ -526,3 +527,24 @@ def _(spark, sf):
 def _(spark, sf):
     b = A.bars_daily(spark, sf).select("asset", "ts", "close")
     return tidy(b.orderBy("ts", "asset").limit(500))
+
+
+@query(
+    "x_time_and_text",
+    f"""SELECT event_id, {rd("hour(ts) / 24::DOUBLE", 'hour_fraction')}, strftime(ts, '%Y-%m') AS month, {ts("ts - INTERVAL 9 HOUR", 'utc')},
+    CASE WHEN event_type = 'error' THEN '—' WHEN value > 100 THEN '$' || printf('%.2f', value) ELSE '$' || printf('%.4f', value) END AS price,
+    printf('%+.3f%%', value - 50) AS change FROM events""",
+)
+def _(spark, sf):
+    e = A.table(spark, sf, "events")
+    value = F.when(F.col("event_type") != "error", F.col("value"))
+    return tidy(
+        e.select(
+            "event_id",
+            C.hour_fraction(F.col("ts")).alias("hour_fraction"),
+            C.month_label(F.col("ts")).alias("month"),
+            C.to_utc(F.col("ts"), "Asia/Tokyo").alias("utc"),
+            C.price_text(value).alias("price"),
+            C.percent_text(F.col("value") - 50).alias("change"),
+        )
+    )

@@ -19,6 +19,10 @@ from barflow.sources.readers import month_of
 from barflow.sources.schemas import RUN_LOG, conform
 
 
+# Most partition values a plan names one by one.
+MAX_PARTITIONS = 1_000
+
+
 @dataclass(frozen=True)
 class Written:
     attempted: int
@@ -54,8 +58,19 @@ def matching_keys(df: DataFrame, wanted: DataFrame, key: Sequence[str]) -> DataF
 
 
 def _touched(table: DataFrame, batch: DataFrame, parts: Sequence[str]) -> DataFrame:
-    """Rows of the partitions a batch falls into."""
-    return table.join(batch.select(*parts).distinct(), list(parts), "left_semi") if parts else table
+    """Rows of the partitions a batch falls into.
+
+    Values of a few partitions become literals, so the others are not even listed for
+    the scan; a batch over very many is matched by the join alone.
+    """
+    if not parts:
+        return table
+    seen = batch.select(*parts).distinct()
+    values = seen.limit(MAX_PARTITIONS + 1).collect()
+    if len(values) <= MAX_PARTITIONS:
+        for p in parts:
+            table = table.filter(F.col(p).isin(sorted({r[p] for r in values if r[p] is not None})))
+    return table.join(seen, list(parts), "left_semi")
 
 
 def insert_if_absent(df: DataFrame, path: str, key: Sequence[str], order: Sequence[str], parts: Sequence[str] = ()) -> Written:

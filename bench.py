@@ -12,7 +12,7 @@ import time
 
 HEADLINE = (
     "a01_hourly_sentiment", "a02_ohlcv_resample", "a08_vol_quantiles", "a09_regression_metrics", "a16_shrinkage",
-    "a18_lag_diagnostic", "a19_correlation", "a25_trade_summary", "a34_median_impute", "a37_ridge_pipeline",
+    "a18_lag_diagnostic", "a19_correlation", "a25_trade_summary", "a34_median_impute", "a37_ridge_all_assets",
     "a38_buy_and_hold", "f01_lexicon_score", "feature_matrix", "j01_dataset", "j05_cross_asset", "j06_asof_macro",
     "j07_forward_align", "j14_first_touch", "j15_trade_paths", "p05_phrase_tags", "p24_trade_accounting", "s11_upsert",
     "w02_lagged_returns", "w06_rsi", "w07_macd", "w09_atr", "w10_regimes", "w17_normalised_targets", "w19_leakage_shift",

@@ -26,7 +26,7 @@ def articles(spark):
     return N.score(df.withColumn("text_for_sentiment", F.col("title"))).withColumnRenamed("score", "sentiment_score")
 
 
-def test_article_pipeline(spark, mode):
+def test_articles_end_to_end(spark, mode):
     a = articles(spark)
     assert a.count() == 8 and {"domain", "language", "sourcecountry"} <= set(a.columns)
     hourly = N.hourly(a)
@@ -139,6 +139,17 @@ def test_reads_prune_partitions(spark, tmp_path):
     assert "GreaterThanOrEqual(ts" in plan
 
 
+def test_touched_partitions_are_pruned(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    SK.upsert(sample(spark), path, KEY, ["close"], PARTS)
+    batch = sample(spark, days=3, assets=("a",))
+    old = SK._touched(spark.read.parquet(path), batch, PARTS)
+    assert old.count() == 31
+    plan = old._jdf.queryExecution().executedPlan().toString()
+    part = next(line for line in plan.splitlines() if "FileScan" in line and "PartitionFilters" in line)
+    assert "(asset" in part and "2024-01" in part
+
+
 def test_delete_and_replace(spark, tmp_path):
     path = str(tmp_path / "p")
     rows = [("a", 4, m, i) for m in ("raw", "raw_test", "rawXtest") for i in range(3)]
