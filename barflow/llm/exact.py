@@ -17,6 +17,8 @@ STORE = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    # many stores of little each: don't set disk aside for them
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -82,7 +84,8 @@ def classes(docs: DataFrame, digest=sha256) -> DataFrame:
     last place in the files decides, and a null id is less than any other. Only rows whose digest the state has seen more
     than once are fetched again and compared in full with the text that stays; rows that differ in spite of an equal digest
     form groups of their own. A text with very many copies is compared in groups of COPIES_PER_GROUP, each with a copy of
-    the one text that stays. An empty table gives no rows. No Python runs.
+    the one text that stays. Both sides of these joins grow with the input, so they are merge joins at every size. An empty
+    table gives no rows. No Python runs.
     """
     spark = docs.sparkSession
     rows = T.located(docs, "dedup").withColumn("digest", digest(normalised(F.col("doc.text"))))
@@ -99,7 +102,7 @@ def classes(docs: DataFrame, digest=sha256) -> DataFrame:
 
     groups = F.ceil(F.col("n") / COPIES_PER_GROUP).cast("int")
     hits = session.settle(
-        rows.join(heads, "digest").select(
+        rows.join(heads.hint("merge"), "digest").select(
             "digest",
             seen.alias("seen"),
             "head",
@@ -114,7 +117,7 @@ def classes(docs: DataFrame, digest=sha256) -> DataFrame:
     )
     # no row here unless two texts share a digest: then each text is a group of its own
     odd = session.settle(
-        hits.join(first, ["digest", "group"]).filter("body != first").select("digest", "seen", "body"), "unequal"
+        hits.join(first.hint("merge"), ["digest", "group"]).filter("body != first").select("digest", "seen", "body"), "unequal"
     )
     own = odd.groupBy("digest", "body").agg(F.max("seen").alias("own"), F.count("*").alias("own_n"))
     owners = odd.join(own, ["digest", "body"]).select("digest", "seen", "own", "own_n")
@@ -122,7 +125,7 @@ def classes(docs: DataFrame, digest=sha256) -> DataFrame:
     keep = F.coalesce("own", "head", "seen")
     return (
         rows.withColumn("seen", seen)
-        .join(heads, "digest", "left")
+        .join(heads.hint("merge"), "digest", "left")
         .join(lost, "digest", "left")
         .join(owners, ["digest", "seen"], "left")
         .select(
