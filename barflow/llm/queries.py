@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm import exact, mixing
+from barflow.llm import decision_list, exact, mixing, order_minhash, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,20 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(_documents(spark, sf_dir))
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), tokenizer(), keep_ids=False).drop("ids")
+
+
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact.classes(_documents(spark, sf_dir))
     return rows.select(
@@ -27,10 +41,19 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_documents(spark, sf_dir))
 
 
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decision_list.judge(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rows.select("doc_id", *counts, "base_failed", "kept", "reason")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op3_near_dedup": near_dedup,
+        "op4_mixture_packing": mixture_packing,
         "op5_exact_dedup": exact_dedup,
         "op7_source_mix": source_mix,
+        "op8_quality_rules": quality_rules,
     }
 
 

@@ -5,18 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barflow import session
-from barflow.llm import exact, mixing
+from barflow.llm import decision_list, exact, mixing, order_minhash, packing, queries
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decision_list.accept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.dedup(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return order_minhash.dedup(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("exact dedup", exact_dedup), ("source mix", source_mix)]
+def mixture_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, queries.tokenizer())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("source mix", source_mix),
+    ("mixture packing", mixture_packing),
+]
 
 # The learned rules, the candidate search and the tokens of the last stages are beyond SQL.
 ORACLE_SQL = None
