@@ -216,7 +216,7 @@ def pack(
         "doc_tokens bigint, ids binary",
     )
     where = schedule(totals, window, quantum).select(F.col("queue").alias("_q"), F.col("cell").alias("_c"), "sequence_id", "at")
-    return pieces.join(where, F.col("queue").eqNullSafe(F.col("_q")) & (F.col("cell") == F.col("_c"))).select(
+    return pieces.join(where.hint("merge"), F.col("queue").eqNullSafe(F.col("_q")) & (F.col("cell") == F.col("_c"))).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("sequence_id").cast("long").alias("sequence_id"),
         (F.col("at") + F.col("inside")).cast("long").alias("offset"), "queue", "ids",
     )
