@@ -15,9 +15,9 @@ from barflow.llm import text as T
 # Fixed values of the contract.
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW, SYMBOLS = 10, 20, 5, "[#*$%&|<>]"
 
+# None of these drifts with the length of a clean text.
 FEATURES = (
-    "n_words", "mean_word", "symbol_share", "mark_share", "upper_share", "digit_share", "distinct_share", "repeat_share",
-    "dup_line_share", "words_per_line",
+    "mean_word", "symbol_share", "mark_share", "upper_share", "digit_share", "echo_share", "repeat_share", "dup_line_share",
 )
 QUANTILES = (0.005, 0.01, 0.02, *(k / 20 for k in range(1, 20)), 0.98, 0.99, 0.995)
 
@@ -94,7 +94,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("_p").isNotNull(), _repeated_words("_k", "_p")).otherwise(0).cast("long").alias("n_repeat_words"),
         F.size("_l").alias("_lines"),
-        F.size(F.array_distinct("_h")).alias("_kinds"),
+        F.size(F.filter("_h", lambda w, i: w == F.get(F.col("_h"), i - 1))).alias("_echoes"),
         F.regexp_count("_t", F.lit("[!?]")).alias("_marks"),
         F.regexp_count("_t", F.lit(r"\p{Lu}")).alias("_upper"),
         F.regexp_count("_t", F.lit(r"\p{Nd}")).alias("_digits"),
@@ -110,10 +110,9 @@ def statistics(docs: DataFrame) -> DataFrame:
         share("_marks", "n_words")("mark_share"),
         share("_upper", "word_chars")("upper_share"),
         share("_digits", "word_chars")("digit_share"),
-        share("_kinds", "n_words")("distinct_share"),
+        share("_echoes", "n_words")("echo_share"),
         share("n_repeat_words", "n_words")("repeat_share"),
         share("n_dup_lines", "_lines")("dup_line_share"),
-        share("n_words", "_lines")("words_per_line"),
     )
 
 
@@ -130,7 +129,8 @@ def learn(
     Two thirds of the rows, by a hash of their statistics, grow a rule: the condition with the largest information gain
     over all features and limits is added until none gains. The other third prunes it: the shortest-best start of the rule
     by (hits - errors) / (hits + errors) stays, and the list ends at a rule whose hits there are too few or whose precision
-    is too low. Covered rows leave before the next rule. Limits are quantiles over all rows. Every step is one aggregation
+    is too low. Covered rows leave before the next rule. Limits lie halfway between
+    quantiles over all rows. Every step is one aggregation
     over all labelled rows whose result has a row for each feature and limit, whatever the size of the input.
     """
     spark = rows.sparkSession
@@ -139,7 +139,8 @@ def learn(
     found = rows.agg(*(F.percentile_approx(f, list(QUANTILES), 1000).alias(f) for f in FEATURES)).first()
     if found[FEATURES[0]] is None:
         return []
-    limits = {f: sorted(set(found[f])) for f in FEATURES}
+    steps = {f: sorted(set(found[f])) for f in FEATURES}
+    limits = {f: [(a + b) / 2 for a, b in zip(steps[f], steps[f][1:])] or steps[f] for f in FEATURES}
     # as bins, so that one grouping by feature and bin has the counts of every condition: bin b holds limit[b-1] < x <= limit[b]
     bins = F.array(*(reduce(lambda a, b: a + b, ((F.col(f) > x).cast("int") for x in limits[f])) for f in FEATURES))
     rows = session.settle(rows.withColumn("bins", bins).coalesce(max(2, spark.sparkContext.defaultParallelism)), "binned")
@@ -192,9 +193,9 @@ def learn(
 
 
 def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics of the documents with a label; `bad` is 1 where quality is 0. Of several labels the worst counts."""
+    """Statistics of the labelled documents within the base limits; `bad` is 1 where quality is 0, in any of its labels."""
     bad = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad"))
-    return stats.join(bad.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id") == F.col("_id")).drop("_id")
+    return stats.join(bad.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id") == F.col("_id")).filter(~base_failed()).drop("_id")
 
 
 def _flat(stats: DataFrame) -> DataFrame:
@@ -218,7 +219,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that are kept. Statistics are taken again while filtering, which moves no text."""
-    stats = _flat(statistics(docs)).select("doc_id", *FEATURES)
+    stats = _flat(statistics(docs)).select("doc_id", "n_words", "n_repeat_words", *FEATURES)
     rules = learn(labelled(session.settle(stats, "statistics"), labels))
     kept = statistics(docs).filter(~base_failed() & verdict(rules).isNull())
     return T.unpacked(kept, docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm import decision_list, exact, mixing, order_minhash, packing
+from barflow.llm import decision_list, exact, licenses, mixing, order_minhash, packing, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "labels"))
+    return url_rules.judge(pages, labels)
+
+
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(_documents(spark, sf_dir))
 
@@ -47,13 +52,21 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, "base_failed", "kept", "reason")
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.labels(licenses.scan(_documents(spark, sf_dir)))
+    joined = (F.array_join(c, ",").alias(c) for c in ("base_labels", "labels"))
+    return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_url_filter": url_filter,
         "op3_near_dedup": near_dedup,
         "op4_mixture_packing": mixture_packing,
         "op5_exact_dedup": exact_dedup,
         "op7_source_mix": source_mix,
         "op8_quality_rules": quality_rules,
+        "op10_license_scan": license_scan,
     }
 
 
