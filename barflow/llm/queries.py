@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm import decision_list, exact, licenses, mixing, order_minhash, packing, url_rules
+from barflow.llm import (
+    decision_list, exact, language, licenses, mixing, order_minhash, ordinal, packing, sentences, url_rules,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +23,10 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, labels)
 
 
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.select(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(_documents(spark, sf_dir))
 
@@ -42,6 +48,13 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = language.learn(docs.filter(~language.held_out(F.col("doc_id"))))
+    rows = language.predict(docs, model)
+    return rows.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_documents(spark, sf_dir))
 
@@ -52,6 +65,10 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, "base_failed", "kept", "reason")
 
 
+def sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.dedup(_documents(spark, sf_dir))
+
+
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = licenses.labels(licenses.scan(_documents(spark, sf_dir)))
     joined = (F.array_join(c, ",").alias(c) for c in ("base_labels", "labels"))
@@ -61,11 +78,14 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_url_filter": url_filter,
+        "op2_quality_classifier": quality_classifier,
         "op3_near_dedup": near_dedup,
         "op4_mixture_packing": mixture_packing,
         "op5_exact_dedup": exact_dedup,
+        "op6_language_id": language_id,
         "op7_source_mix": source_mix,
         "op8_quality_rules": quality_rules,
+        "op9_sentence_dedup": sentence_dedup,
         "op10_license_scan": license_scan,
     }
 
