@@ -150,7 +150,7 @@ def schedule(queues: DataFrame, window: int = WINDOW, quantum: int = QUANTUM) ->
     )
     number = F.row_number().over(W.partitionBy("block").orderBy("round", "turn", "cell")) - 1
     place = (F.col("_before") + F.col("_k")) * quantum
-    main = cells.withColumn("_k", number).join(before, F.col("block") == F.col("_block")).select(
+    main = cells.withColumn("_k", number).join(before.hint("merge"), F.col("block") == F.col("_block")).select(
         "queue", "cell", F.floor(place / window).alias("sequence_id"), (place % window).alias("at")
     )
     used = F.ceil(F.sum("full").over(every) * quantum / F.lit(window))
