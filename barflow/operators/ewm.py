@@ -2,9 +2,11 @@
 
 y[0] = x[0], y[k] = a*x[k] + (1-a)*y[k-1] over the non-NULL x of a series, k
 counting them. Within a chunk the recurrence is a prefix sum: with d = 1-a,
-y[k] * d**-k = y[k-1] * d**-(k-1) + a * x[k] * d**-k. Chunks are kept short
-enough for d**-k to stay a double, and start `halo` rows early, where what is
-left out weighs less than 1e-20. Every chunk is thus its own unit of work.
+y[k] * d**-k = y[k-1] * d**-(k-1) + a * x[k] * d**-k. Chunks are short enough for
+d**-k to stay a double. What earlier chunks add to row j of a chunk is
+d**(j+1) * Y, Y being the value at the end of the one before: the sum of the chunks'
+own ends, each decayed by the rows since. After a few chunks the decay is below the
+least double, so a fixed number of earlier ends gives Y to the last bit.
 """
 
 from __future__ import annotations
@@ -15,63 +17,89 @@ from dataclasses import replace
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from barflow.operators.series import POS, SID, Series
+from barflow.operators.series import POS, SID, Series, null_safe_join
 
-_FORGOTTEN = 46.0  # d**halo = exp(-46), about 1e-20
-_RANGE = 600.0  # d**-(chunk + halo) = exp(600), about 1e260
+_RANGE = 600.0  # d**-chunk = exp(600), about 1e260
+_NOTHING = 1500.0  # exp(-1500) times the largest double is below the least one
+_SPREAD = 16.0  # most times that decay rates of one pass differ
 
 
-def _sizes(alphas: list[float]) -> tuple[int, int]:
-    rates = [-math.log1p(-a) for a in alphas]
-    halo = math.ceil(_FORGOTTEN / min(rates))
-    chunk = math.floor(_RANGE / max(rates)) - halo
-    if chunk < 1:
-        raise ValueError("smoothing factors too far apart for one pass; use one call each")
-    return chunk, halo
+def _rate(alpha: float) -> float:
+    return -math.log1p(-alpha) if alpha < 1.0 else math.inf
+
+
+def _passes(values: dict[str, tuple[Column, float]]) -> list[list[str]]:
+    """Names by decay rate, those near each other together."""
+    groups: list[list[str]] = []
+    for n in sorted(values, key=lambda n: _rate(values[n][1])):
+        if groups and _rate(values[n][1]) <= _SPREAD * _rate(values[groups[-1][0]][1]):
+            groups[-1].append(n)
+        else:
+            groups.append([n])
+    return groups
 
 
 def ewm(s: Series, values: dict[str, tuple[Column, float]], present: Column, seed_rows: int = 1, min_obs: int = 1) -> Series:
-    """Add name -> smoothed value for name -> (column, alpha).
+    """Add name -> smoothed value for name -> (column, alpha), 0 < alpha <= 1.
 
     All columns must be non-NULL exactly where `present` holds; elsewhere the
     result is NULL and the recurrence skips the row. With `seed_rows` = m > 1 the
     recurrence starts at y[m-1] = mean(x[0..m-1]) and earlier results are NULL, as
-    are those with fewer than `min_obs` values so far.
+    are those with fewer than `min_obs` values so far. Factors far apart take a pass each.
     """
-    chunk, halo = _sizes([a for _, a in values.values()])
-    names = list(values)
-    counted = s.running(_k=("count", F.when(present, 1))).map(
+    start = seed_rows - 1
+    out = s.running(_k=("count", F.when(present, 1))).map(
         lambda d: d.withColumn("_k", F.when(present, F.col("_k") - 1)).withColumns(
             {f"_x_{n}": c.cast("double") for n, (c, _) in values.items()}
         )
     )
-    start = seed_rows - 1
+    for names in _passes(values):
+        out = _smooth(out, {n: values[n][1] for n in names}, seed_rows)
+    shown = F.col("_k").isNotNull() & (F.col("_k") >= max(start, min_obs - 1))
+    df = out.df.withColumns({n: F.when(shown, F.col(n)) for n in values})
+    return replace(s, df=df.drop("_k", *[f"_x_{n}" for n in values]))
+
+
+def _smooth(s: Series, alphas: dict[str, float], seed_rows: int) -> Series:
+    start, rates = seed_rows - 1, {n: _rate(a) for n, a in alphas.items()}
+    if min(rates.values()) == math.inf and seed_rows == 1:
+        return s.map(lambda d: d.withColumns({n: F.col(f"_x_{n}") for n in alphas}))
+    chunk = math.floor(_RANGE / max(rates.values())) or 1_000_000
+    if seed_rows > chunk:
+        raise ValueError("the seed is longer than a chunk of this smoothing factor")
     order = [POS] if s.blocked else list(s.order)
+    part = [SID] if s.blocked else list(s.keys)
     # Rows without a value need no neighbours: scatter them over chunks of their own.
     aside = -1 - F.pmod(F.xxhash64(*order), F.lit(1_000_000))
-    home = F.coalesce(F.floor(F.col("_k") / chunk), aside)
-    reach = F.coalesce(F.floor((F.col("_k") + halo) / chunk), aside)
-    spread = counted.df.withColumn("_c", home).withColumn("_to", F.explode(F.sequence(home, reach)))
-    part = [SID] if s.blocked else list(s.keys)
-    w = Window.partitionBy(*part, "_to").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    df = s.df.withColumn("_c", F.coalesce(F.floor(F.col("_k") / chunk), aside))
+    w = Window.partitionBy(*part, "_c").orderBy(*[F.col(c).asc_nulls_first() for c in order])
     prefix = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    j = F.col("_k") - F.col("_to") * chunk + halo
-    out = spread
-    for n, (_, alpha) in values.items():
-        decay = 1.0 - alpha
-        if seed_rows > 1:
-            weight = F.when(F.col("_k") <= start, F.lit(1.0 / seed_rows)).otherwise(F.lit(alpha))
-            # every seed row enters with the weight it has at the last of them
-            age = F.greatest(F.col("_k"), F.lit(start)) - F.col("_to") * chunk + halo
-        else:
-            weight = F.when(F.col("_k") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-            age = j
-        term = F.col(f"_x_{n}") * weight * F.pow(F.lit(decay), -age.cast("double"))
-        out = out.withColumn(n, F.sum(term).over(prefix) * F.pow(F.lit(decay), j.cast("double")))
-    out = out.filter(F.col("_to") == F.col("_c"))
-    shown = F.col("_k").isNotNull() & (F.col("_k") >= max(start, min_obs - 1))
-    out = out.withColumns({n: F.when(shown, F.col(n)) for n in names})
-    return replace(s, df=out.drop("_k", "_c", "_to", *[f"_x_{n}" for n in names]))
+    j = F.col("_k") - F.col("_c") * chunk
+    x, seed = {n: F.col(f"_x_{n}") for n in alphas}, F.col("_k") <= start
+    own = {}
+    for n, alpha in alphas.items():
+        first = F.sum(F.when(seed, x[n] / seed_rows).otherwise(0.0)).over(prefix)
+        if rates[n] == math.inf:
+            own[n] = F.when(seed, first).otherwise(x[n])
+            continue
+        decay, at = F.lit(1.0 - alpha), j.cast("double")
+        rest = F.sum(F.when(seed, 0.0).otherwise(x[n] * alpha * F.pow(decay, -at))).over(prefix)
+        own[n] = first * F.pow(decay, F.greatest(at - start, F.lit(0.0))) + rest * F.pow(decay, at)
+    local = df.withColumns(own)
+    ends = local.filter(F.col("_k").isNotNull()).groupBy(*part, "_c").agg(*[F.max_by(n, "_k").alias(f"_e_{n}") for n in alphas])
+    before = Window.partitionBy(*part).orderBy("_c")
+    carry = {}
+    for n, rate in rates.items():
+        far = 0 if rate == math.inf else math.ceil(_NOTHING / (rate * chunk))
+        parts = [F.coalesce(F.lag(f"_e_{n}", i).over(before), F.lit(0.0)) * math.exp(-rate * chunk * (i - 1)) for i in range(1, far + 1)]
+        carry[f"_y_{n}"] = sum(parts[1:], parts[0]) if parts else F.lit(0.0)
+    carried = ends.select(*part, "_c", *[c.alias(n) for n, c in carry.items()])
+    joined = null_safe_join(local, carried, [*part, "_c"])
+    added = {
+        n: F.col(n) + F.when(F.col(f"_y_{n}") != 0, F.col(f"_y_{n}") * F.pow(F.lit(max(0.0, 1.0 - a)), (j + 1).cast("double"))).otherwise(0.0)
+        for n, a in alphas.items()
+    }
+    return replace(s, df=joined.withColumns(added).drop("_c", *carry))
 
 
 def span(n: int) -> float:

@@ -18,6 +18,7 @@ from barflow.plans.market import RULES, TARGETS
 from barflow.plans.oracle import BARS_D, BARS_H, FORECASTS, LR, VOL, WA, frame, full, rd, rds, ts, with_
 from barflow.plans.registry import query
 from barflow.sources import adapters as A
+from barflow.sources import readers as RD
 from barflow.sources import schemas as SC
 
 F_SQL = with_(BARS_H, LR, VOL, FORECASTS)
@@ -485,15 +486,39 @@ def _(spark, sf):
     return tidy(out.select("asset", "ts", "ret_1", "mean_4", "std_16", "mom_16", "vol_20"))
 
 
+MODES = {
+    "full": ("ret_1", "vol_20", "close", "dxy", "x_gdelt_tone"),
+    "no_gdelt": ("ret_1", "vol_20", "close", "dxy"),
+    "technical_macro": ("ret_1", "vol_20", "close", "dxy"),
+    "technical_only": ("ret_1", "vol_20", "close"),
+    "price_only": ("ret_1", "vol_20", "close"),
+}
+_EVERY = ("ret_1", "vol_20", "close", "dxy", "x_gdelt_tone", "hour_sin")
+
+
+def _mode_sql(mode, names):
+    kept = names + (("hour_sin",) if mode != "price_only" else ())
+    cells = ", ".join(f"{rd({'ret_1': 'lr'}.get(c, c), c)}" if c in kept else f"NULL::DOUBLE AS {c}" for c in _EVERY)
+    return f"SELECT '{mode}' AS mode, asset, {ts()}, {cells} FROM x"
+
+
 @query(
     "p09_feature_set",
-    with_(BARS_D, LR, VOL) + f"SELECT asset, {ts()}, {rd('lr', 'ret_1')}, {rds('vol_20', 'close')} FROM v",
+    with_(BARS_D, LR, VOL, "x AS (SELECT *, 1 + k % 7 AS dxy, k % 5 / 5::DOUBLE AS x_gdelt_tone, k % 24 AS hour_sin FROM v)")
+    + " UNION ALL ".join(_mode_sql(m, c) for m, c in MODES.items()),
 )
 def _(spark, sf):
-    df = I.apply(B.bar_series(A.bars_daily(spark, sf)), I.lagged_returns((1,)), I.volatility(), I.rolling_close((4,))).frame()
-    df = df.withColumns({"dxy": F.lit(1.0), "x_gdelt_tone": F.lit(1.0)})
-    kept = SC.feature_set([c for c in df.columns if c not in ("asset", "ts", "open", "high", "low", "volume")], "price_only")
-    return tidy(df.select("asset", "ts", *kept))
+    s = I.apply(B.bar_series(A.bars_daily(spark, sf)), I.lagged_returns((1,)), I.volatility()).position("_k")
+    k = F.col("_k")
+    df = s.frame().withColumns({"dxy": 1 + k % 7, "x_gdelt_tone": k % 5 / 5, "hour_sin": k % 24})
+    df = df.select("asset", "ts", *[F.col(c).cast("double").alias(c) for c in _EVERY])
+
+    def mode(name):
+        kept = SC.feature_set(_EVERY, name)
+        cells = [F.col(c) if c in kept else F.lit(None).cast("double").alias(c) for c in _EVERY]
+        return df.select(F.lit(name).alias("mode"), "asset", "ts", *cells)
+
+    return tidy(RD.union_all(*map(mode, MODES)))
 
 
 @query(

@@ -74,14 +74,17 @@ def _(spark, sf):
     return RD.union_all(RD.read_csv(spark, path, CSV_DOC), absent)
 
 
-@query("s05_tagged_files", "SELECT event_type AS asset, event_id, round(value, 6) + 0.0 AS value FROM events WHERE event_type IN ('view', 'click')")
+KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+@query("s05_tagged_files", "SELECT event_type AS asset, event_id, round(value, 6) + 0.0 AS value FROM events")
 def _(spark, sf):
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("value", T.DoubleType())])
     base = session.scratch(spark, "tagged")
     e = A.table(spark, sf, "events")
-    for asset in ("view", "click"):
+    for asset in KINDS:
         e.filter(F.col("event_type") == asset).select("event_id", "value").write.option("header", True).csv(f"{base}/{asset}")
-    return tidy(RD.read_tagged(spark, {a: f"{base}/{a}" for a in ("view", "click", "absent")}, schema))
+    return tidy(RD.read_tagged(spark, {a: f"{base}/{a}" for a in (*KINDS, "absent")}, schema))
 
 
 @query(

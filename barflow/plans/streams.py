@@ -68,12 +68,10 @@ def _(spark, sf):
     out, progress = _paths(spark)
     arrivals = session.scratch(spark, "arrivals")
     e = A.table(spark, sf, "events")
-    # Three deliveries, one after the other, so that state is carried twice.
-    cuts = ["2024-01-01", "2024-01-11", "2024-01-21", "2100-01-01"]
-    for a, b in zip(cuts, cuts[1:]):
-        e.filter((F.col("ts") >= F.lit(a).cast("timestamp")) & (F.col("ts") < F.lit(b).cast("timestamp"))).coalesce(1).write.mode(
-            "append"
-        ).parquet(arrivals)
-    stream = A.ticks_of(J.watch(spark, arrivals, "*.parquet", files_per_batch=1))
-    J.smoothed(stream, out, progress, alpha=0.1, once=True).awaitTermination()
+    # Three deliveries, each smoothed before the next one comes, so that state is carried twice.
+    first, second = F.lit("2024-01-11").cast("timestamp"), F.lit("2024-01-21").cast("timestamp")
+    at = F.coalesce(F.when(F.col("ts") >= second, 2), F.when(F.col("ts") >= first, 1), F.lit(0))
+    for delivery in range(3):
+        e.filter(at == delivery).write.mode("append").parquet(arrivals)
+        J.smoothed(A.ticks_of(J.watch(spark, arrivals, "*.parquet")), out, progress, alpha=0.1, once=True).awaitTermination()
     return tidy(J.read_smoothed(spark, out).select("asset", "event_id", "smoothed"))

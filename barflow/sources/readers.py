@@ -34,7 +34,7 @@ def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def month_of(ts: str) -> Column:
+def month_of(ts: str | Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
 
@@ -50,10 +50,10 @@ def read_bars(
     df = _table(spark, path, full)
     if asset is not None:
         df = df.filter(F.col("asset") == asset)
-    for bound, op in ((start, "ge"), (end, "le")):
+    # the month of the instant a bound means, in the session's time zone, as in month_of; rows stored without one stay
+    for bound, inside in ((start, F.col("month").__ge__), (end, F.col("month").__le__)):
         if bound is not None:
-            month = F.lit(str(bound)[:7])
-            df = df.filter(F.col("month") >= month if op == "ge" else F.col("month") <= month)
+            df = df.filter(inside(month_of(F.lit(bound).cast("timestamp"))) | F.col("month").isNull())
     prices = [f.name for f in schema.fields if f.dataType == T.DoubleType()]
     df = df.filter(between("ts", start, end)).drop("month")
     return df.withColumns({c: finite(F.col(c)) for c in prices}).withColumn("market_open", F.lit(True))

@@ -2,12 +2,15 @@
 
 Tables that grow are partitioned by asset and month (`with_month`): a batch then
 reads and rewrites only the partitions it touches, however large an asset is.
+NULL is a key and a partition like any other: it equals itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,10 +22,6 @@ from barflow.sources.readers import month_of
 from barflow.sources.schemas import RUN_LOG, conform
 
 
-# Most partition values a plan names one by one.
-MAX_PARTITIONS = 1_000
-
-
 @dataclass(frozen=True)
 class Written:
     attempted: int
@@ -48,29 +47,36 @@ def _write(df: DataFrame, path: str, parts: Sequence[str], mode: str) -> None:
     (w.partitionBy(*parts) if parts else w).parquet(path)
 
 
+def _keyed(df: DataFrame, other: DataFrame, key: Sequence[str], how: str) -> DataFrame:
+    names = {c: f"_k_{c}" for c in key}
+    other = other.select(*[F.col(c).alias(n) for c, n in names.items()])
+    return df.join(other, reduce(and_, (F.col(c).eqNullSafe(F.col(n)) for c, n in names.items())), how)
+
+
 def missing_keys(df: DataFrame, known: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows whose key is not among the known ones."""
-    return df.join(known.select(*key), list(key), "left_anti")
+    return _keyed(df, known, key, "left_anti")
 
 
 def matching_keys(df: DataFrame, wanted: DataFrame, key: Sequence[str]) -> DataFrame:
-    return df.join(wanted.select(*key), list(key), "left_semi")
+    return _keyed(df, wanted, key, "left_semi")
 
 
 def _touched(table: DataFrame, batch: DataFrame, parts: Sequence[str]) -> DataFrame:
     """Rows of the partitions a batch falls into.
 
-    Values of a few partitions become literals, so the others are not even listed for
-    the scan; a batch over very many is matched by the join alone.
+    The range of the batch's values in each partition column becomes a literal, so what
+    lies outside is not even listed for the scan; the join picks the partitions inside.
     """
     if not parts:
         return table
-    seen = batch.select(*parts).distinct()
-    values = seen.limit(MAX_PARTITIONS + 1).collect()
-    if len(values) <= MAX_PARTITIONS:
-        for p in parts:
-            table = table.filter(F.col(p).isin(sorted({r[p] for r in values if r[p] is not None})))
-    return table.join(seen, list(parts), "left_semi")
+    spans = [f(F.col(p)).alias(f"{n}_{p}") for p in parts for n, f in (("low", F.min), ("high", F.max))]
+    nulls = [F.coalesce(F.bool_or(F.col(p).isNull()), F.lit(False)).alias(f"null_{p}") for p in parts]
+    seen = batch.agg(*spans, *nulls).first()
+    for p in parts:
+        inside = F.lit(False) if seen[f"low_{p}"] is None else F.col(p).between(seen[f"low_{p}"], seen[f"high_{p}"])
+        table = table.filter(inside | F.col(p).isNull() if seen[f"null_{p}"] else inside)
+    return matching_keys(table, batch.select(*parts).distinct(), parts)
 
 
 def insert_if_absent(df: DataFrame, path: str, key: Sequence[str], order: Sequence[str], parts: Sequence[str] = ()) -> Written:

@@ -68,8 +68,9 @@ def smoothed(
     The last value of each asset is kept as a small table per batch. A batch starts
     from its predecessor's row, which takes the place of the first value, and is
     smoothed by the same operator as stored data: all of it in parallel, whatever one
-    asset's share. Ticks not later than an asset's last one are dropped. A repeated
-    batch rewrites its own output and state.
+    asset's share. Ticks are ordered by (ts, event_id); one that is not after its asset's
+    last one has come too late to be smoothed in order, and is dropped: this is the
+    watermark, an instant per asset. A repeated batch rewrites its own output and state.
     """
     cols = ["asset", "ts", "event_id", value]
 
@@ -78,8 +79,9 @@ def smoothed(
         before = SK.stored(spark, f"{path}/state/{batch_id - 1}") if batch_id else None
         rows = batch.select(*cols).withColumn("_seed", F.lit(0))
         if before is not None:
-            last = before.select("asset", F.col("ts").alias("_at"))
-            rows = rows.join(last, "asset", "left").filter(F.col("_at").isNull() | (F.col("ts") > F.col("_at"))).drop("_at")
+            last = before.select("asset", F.struct("ts", "event_id").alias("_at"))
+            after = F.col("_at").isNull() | (F.struct("ts", "event_id") > F.col("_at"))
+            rows = rows.join(last, "asset", "left").filter(after).drop("_at")
             rows = rows.unionByName(before.withColumn("_seed", F.lit(1)).withColumnRenamed("smoothed", value), allowMissingColumns=True)
         s = arrange(rows, ["asset"], ["ts", "event_id"])
         out = W.ewm(s, {"smoothed": (F.col(value), alpha)}, F.col(value).isNotNull()).frame()
@@ -87,10 +89,10 @@ def smoothed(
         out.filter("_seed = 0").drop("_seed").write.mode("overwrite").parquet(target)
         ends = spark.read.parquet(target).filter(F.col("smoothed").isNotNull())
         state = ends.groupBy("asset").agg(
-            F.max("ts").alias("ts"), F.max_by("smoothed", F.struct("ts", "event_id")).alias("smoothed")
-        )
+            F.max(F.struct("ts", "event_id")).alias("_at"), F.max_by("smoothed", F.struct("ts", "event_id")).alias("smoothed")
+        ).select("asset", "_at.ts", "_at.event_id", "smoothed")
         if before is not None:
-            quiet = before.select("asset", "ts", "smoothed").join(state, "asset", "left_anti")
+            quiet = before.select("asset", "ts", "event_id", "smoothed").join(state, "asset", "left_anti")
             state = state.unionByName(quiet)
         state.write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
 
