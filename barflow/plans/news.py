@@ -251,11 +251,22 @@ def _(spark, sf):
 
 
 SHIFTED = f"hs AS (SELECT asset, ts, {', '.join(f'coalesce(lag({c}) OVER ({WA}), 0) AS {c}' for c in S)} FROM h)"
-STRONG = "a AS (SELECT * FROM a0 WHERE confidence > 0.9)"
+# All articles, moved back in time so that hours, or whole days, have none.
+STRONG = "a AS (SELECT * REPLACE (timestamp_utc - to_hours((hour(timestamp_utc) % 3)::INT) AS timestamp_utc) FROM a0)"
+RARE = """a AS (SELECT * REPLACE (timestamp_utc - to_days((date_diff('day', DATE '1970-01-01', timestamp_utc::DATE) % 4)::INT)
+  AS timestamp_utc) FROM a0)"""
+
+
+def _moved(articles, seconds):
+    return articles.withColumn("timestamp_utc", F.timestamp_micros(F.unix_micros("timestamp_utc") - F.lit(1_000_000).cast("long") * seconds))
 
 
 def _strong(spark, sf):
-    return A.articles(spark, sf).filter(F.col("confidence") > 0.9)
+    return _moved(A.articles(spark, sf), F.hour("timestamp_utc") % 3 * 3600)
+
+
+def _rare(spark, sf):
+    return _moved(A.articles(spark, sf), F.unix_date(F.to_date("timestamp_utc")).cast("long") % 4 * 86_400)
 
 
 @query(
@@ -317,12 +328,10 @@ PRESENCE = f"""n AS (SELECT a.asset, b.ts, count(*) AS c FROM a ASOF JOIN b ON a
 p0 AS (SELECT b.asset, b.ts, b.close, coalesce(n.c, 0) AS n_articles FROM b LEFT JOIN n ON n.asset = b.asset AND n.ts = b.ts),
 p1 AS (SELECT *, sum(n_articles) {frame(23)} > 0 AS has_news FROM p0),
 p AS (SELECT *, has_news AND (sum(has_news::INT) OVER ({WA} ROWS UNBOUNDED PRECEDING) - 1) % 4 = 0 AS sampled FROM p1)"""
-RARE = "a AS (SELECT * FROM a0 WHERE confidence > 0.975)"
 
 
 def _windows(spark, sf):
-    a = A.articles(spark, sf).filter(F.col("confidence") > 0.975)
-    return N.news_windows(A.bars_hourly(spark, sf), a)
+    return N.news_windows(A.bars_hourly(spark, sf), _rare(spark, sf))
 
 
 @query("w13_news_presence", with_(BARS_H, ART0, RARE, PRESENCE) + f"SELECT asset, {ts()}, n_articles, has_news FROM p")
@@ -386,7 +395,7 @@ for _name, _step, _sql in (("a20_sentiment_1h", "1 hour", "1 HOUR"), ("a20_senti
     + f"SELECT sp.asset, {ts('sp.ts')}, coalesce(n, 0) AS n FROM sp LEFT JOIN g ON g.asset = sp.asset AND g.ts = sp.ts",
 )
 def _(spark, sf):
-    return tidy(N.bucket_counts(A.articles(spark, sf).filter(F.col("confidence") > 0.975)))
+    return tidy(N.bucket_counts(_rare(spark, sf)))
 
 
 @query(
@@ -420,7 +429,7 @@ TYPES = ("click", "error", "purchase", "signup", "view")
     + " FROM (SELECT *, date_trunc('day', timestamp_utc)::TIMESTAMP AS day FROM a) GROUP BY day",
 )
 def _(spark, sf):
-    a = A.articles(spark, sf).filter(F.col("confidence") > 0.975).withColumn("sentiment_score", F.col("confidence"))
+    a = _rare(spark, sf).withColumn("sentiment_score", F.col("confidence"))
     return tidy(N.daily_sentiment(a, TYPES))
 
 
