@@ -116,3 +116,9 @@ def parse_alphas(text: Column) -> Column:
 def parse_seen(text: Column) -> Column:
     """Feed time such as 20260401T101500Z, NULL if it is none."""
     return F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmmssX"))
+
+
+def published(seen: Column | None, stored: Column | None = None, latency: str = "0 minutes") -> Column:
+    """Time of an article: the feed's, where the feed gives any; else the stored one as UTC; later by the latency."""
+    at = parse_seen(seen) if seen is not None else F.coalesce(stored, F.lit(None)).cast("timestamp")
+    return at + F.expr(f"INTERVAL {latency}")

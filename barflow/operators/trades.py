@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barflow import session
 from barflow.operators.asof import asof_backward, asof_forward
 from barflow.operators.series import arrange, lookup
+from barflow.operators.windows import latest_n
 
 # Fixed values.
 CAPITAL = 10_000.0
@@ -220,7 +221,9 @@ def path_stats(trades: DataFrame, bars: DataFrame, trade_key: Sequence[str] = ("
     by equality. Trades that span no bar get NULLs.
     """
     key = list(trade_key)
-    placed = arrange(bars.select("asset", "ts", "high", "low", "close"), ["asset"], ["ts"]).position("_p").frame()
+    # a bar without a high or a low counts with its close
+    filled = bars.select("asset", "ts", F.coalesce("high", "close").alias("high"), F.coalesce("low", "close").alias("low"), "close")
+    placed = arrange(filled, ["asset"], ["ts"]).position("_p").frame()
     at = placed.select("asset", "ts", "_p")
     spans = asof_forward(
         trades.select(*dict.fromkeys([*key, "asset", "entry_time", "exit_time"])), at.withColumnRenamed("_p", "_lo"), ["asset"], ["_lo"], left_ts="entry_time"
@@ -404,3 +407,37 @@ def reconcile(trades: DataFrame, steps: DataFrame, keys: Sequence[str], ts: str
     out = lookup(t, p, list(keys)).withColumn("portfolio_pnl", F.col("_last") - capital).drop("_last")
     gap = F.col("portfolio_pnl") - F.col("trade_pnl")
     return out.withColumns({"difference": gap, "ok": F.coalesce(F.abs(gap) <= tolerance, F.lit(False))})
+
+
+def performance(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "portfolio_value", step: str = "step_return",
+    periods: int = 365 * 24,
+) -> DataFrame:
+    """Summary of a step table: returns as in buy_and_hold, plus the share of gains among the steps that moved.
+
+    Sharpe is 0 without deviation, and so is the win rate without a step that moved.
+    """
+    rows = drawdown(df, keys, order, value)
+    at, sd, moved = F.struct(*order), F.stddev_pop(step), F.count_if(F.col(step) != 0)
+    first, last = F.min_by(value, at), F.max_by(value, at)
+    return rows.groupBy(*keys).agg(
+        F.try_divide(last - first, first).alias("cumulative_return"),
+        F.when(sd > 0, F.avg(step) / sd * F.sqrt(F.lit(float(periods)))).otherwise(0.0).alias("sharpe_ratio"),
+        F.coalesce(F.try_divide(F.count_if(F.col(step) > 0), moved), F.lit(0.0)).alias("win_rate"),
+        (-F.min("drawdown_pct") / 100).alias("max_drawdown"),
+        moved.alias("n_trades"),
+        last.alias("final_value"),
+    )
+
+
+def markers(trades: DataFrame, bars: DataFrame, n: int, ties: Sequence[str] = ()) -> DataFrame:
+    """Entries and exits of the last `n` trades per asset, each with the bar it falls into.
+
+    `trades` has asset, side, entry_time, entry_price, exit_time, exit_price, exit_reason. A marker is the entry by its
+    side or the exit by its reason; open trades have no exit marker, and times before the first bar have no bar.
+    """
+    last = latest_n(trades, ["asset"], "entry_time", n, ties)
+    entry = last.select("asset", F.col("entry_time").alias("at"), F.concat("side", F.lit(" entry")).alias("marker"), F.col("entry_price").alias("price"))
+    leave = last.select("asset", F.col("exit_time").alias("at"), F.concat(F.lit("exit:"), "exit_reason").alias("marker"), F.col("exit_price").alias("price"))
+    every = entry.unionByName(leave.filter("at is not null and marker is not null"))
+    return asof_backward(every, bars.select("asset", "ts", "close"), ["asset"], ["close"], left_ts="at", matched_ts="bar_ts")

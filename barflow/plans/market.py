@@ -406,11 +406,14 @@ def _(spark, sf):
 @query(
     "j13_target_audit",
     with_(BARS_D, LR, VOL, TARGETS)
-    + "SELECT asset, count(ret_1h) AS n_compared, 0.0::DOUBLE AS max_abs_diff, true AS passed FROM t GROUP BY 1",
+    + """SELECT asset, count(ret_1h) AS n_compared, coalesce(max(0.125) FILTER (ret_1h IS NOT NULL AND asset < '3' AND day(ts) = 5), 0)::DOUBLE AS max_abs_diff,
+    count(*) FILTER (ret_1h IS NOT NULL AND asset < '3' AND day(ts) = 5) = 0 AS passed FROM t GROUP BY 1""",
 )
 def _(spark, sf):
+    # some assets' stored targets are off
     bars = A.bars_daily(spark, sf)
-    return tidy(T.audit(bars, T.build(bars)))
+    off = F.when((F.col("asset") < "3") & (F.dayofmonth("ts") == 5), 0.125).otherwise(0.0)
+    return tidy(T.audit(bars, T.build(bars).withColumn("ret_1h", F.col("ret_1h") + off)))
 
 
 @query(
@@ -428,13 +431,15 @@ def _(spark, sf):
 @query(
     "p19_bar_quality",
     with_(BARS_H, GAPS)
-    + f"""SELECT asset, count(*) AS n_rows, '' AS empty_columns,
+    + f"""SELECT asset, count(*) AS n_rows, CASE WHEN asset = 'error' THEN 'low,volume' ELSE '' END AS empty_columns,
     {rd('(4 - count(open)::DOUBLE / count(*) - count(high)::DOUBLE / count(*) - count(low)::DOUBLE / count(*) - count(close)::DOUBLE / count(*)) / 4', 'null_share')},
     (4 - count(open)::DOUBLE / count(*) - count(high)::DOUBLE / count(*) - count(low)::DOUBLE / count(*) - count(close)::DOUBLE / count(*)) / 4 > 0.1 AS warn,
-    true AS ok FROM g GROUP BY 1""",
+    asset <> 'error' AS ok FROM (SELECT * REPLACE (CASE WHEN asset <> 'error' THEN low END AS low) FROM g) GROUP BY 1""",
 )
 def _(spark, sf):
-    return tidy(B.quality(_gappy(spark, sf).withColumn("volume", F.lit(1.0))))
+    # one asset lacks two columns
+    there = F.col("asset") != "error"
+    return tidy(B.quality(_gappy(spark, sf).withColumns({"low": F.when(there, F.col("low")), "volume": F.when(there, 1.0)})))
 
 
 @query(

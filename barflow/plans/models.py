@@ -204,10 +204,14 @@ def _(spark, sf):
 
 @query(
     "a33_strength_drift",
-    F_SQL + "SELECT asset, 0.0::DOUBLE AS max_drift, true AS ok FROM f GROUP BY 1",
+    F_SQL
+    + "SELECT asset, max(CASE WHEN asset < 'f' AND hour(ts) = 5 THEN 0.25 ELSE 0 END)::DOUBLE AS max_drift, NOT bool_or(asset < 'f' AND hour(ts) = 5) AS ok FROM f GROUP BY 1",
 )
 def _(spark, sf):
-    return tidy(E.strength_drift(E.derived(A.forecasts(spark, sf)), ["asset"]))
+    # some assets' stored strengths have drifted
+    stored = E.derived(A.forecasts(spark, sf))
+    moved = F.when((F.col("asset") < "f") & (F.hour("ts") == 5), 0.25).otherwise(0.0)
+    return tidy(E.strength_drift(stored.withColumn("signal_strength", F.col("signal_strength") + moved), ["asset"]))
 
 
 @query(

@@ -462,3 +462,24 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return tidy(N.daily_counts(A.articles(spark, sf)))
+
+
+@query(
+    "s09_feed_times",
+    "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN strftime(date_trunc('second', ts) + INTERVAL 5 MINUTE, '%Y-%m-%d %H:%M:%S') END AS seen, "
+    "strftime(ts + INTERVAL 5 MINUTE, '%Y-%m-%d %H:%M:%S') AS stored FROM events",
+)
+def _(spark, sf):
+    e = A.table(spark, sf, "events")
+    raw = F.when(F.col("event_id") % 7 != 0, F.date_format(F.col("ts").cast("timestamp"), "yyyyMMdd'T'HHmmss'Z'")).otherwise("20261301T99")
+    e = e.withColumn("seen", TX.published(raw, latency="5 minutes"))
+    return tidy(e.withColumn("stored", TX.published(None, F.col("ts"), "5 minutes")).select("event_id", "seen", "stored"))
+
+
+@query(
+    "s16_wide_sentiment",
+    with_(ART0, VARIED, HOURLY)
+    + f"SELECT {ts('ts', 'timestamp_utc')}, {', '.join(rd(c, f'view_gdelt_{c}') for c in S)} FROM h WHERE asset = 'view'",
+)
+def _(spark, sf):
+    return tidy(N.to_wide(N.hourly(_varied(spark, sf)), "view"))

@@ -218,6 +218,16 @@ def _(spark, sf):
     return tidy(RD.cut_windows(A.table(spark, sf, "events"), "ts", 7))
 
 
+@query(
+    "s19_backfill_windows",
+    """WITH d AS (SELECT ts::DATE AS d FROM events), e AS (SELECT min(d) AS s, max(d) + 1 AS e FROM d)
+    SELECT strftime(greatest(e - (floor((e - d - 1) / 4) * 4 + 4)::INT, s), '%Y-%m-%d') AS window_start, strftime(e - (floor((e - d - 1) / 4) * 4)::INT, '%Y-%m-%d') AS window_end, count(*) AS n
+    FROM d, e GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    return tidy(RD.cut_windows(A.table(spark, sf, "events"), "ts", 4, backwards=True))
+
+
 @query(
     "j10_uncached_keys",
     with_(BARS_H) + f"SELECT asset, {ts()} FROM b WHERE volume < 4",

@@ -107,16 +107,24 @@ def date_windows(spark: SparkSession, start: str, end: str, days: int) -> DataFr
     )
 
 
-def cut_windows(df: DataFrame, ts: str, days: int) -> DataFrame:
+def cut_windows(df: DataFrame, ts: str, days: int, backwards: bool = False) -> DataFrame:
     """The windows of `days` days covering the data, with their row counts.
 
-    Each row finds its window by arithmetic from the first day; no range join.
+    Each row finds its window by arithmetic from the first day, or `backwards` from the
+    last, where the earliest window is the short one; no range join.
     """
     ends = df.agg(F.min(F.to_date(ts)).alias("_s"), (F.date_add(F.max(F.to_date(ts)), 1)).alias("_e"))
     s, e = ends.first()
     if s is None:
         s = e = "1970-01-01"
     first, last = F.lit(s).cast("date"), F.lit(e).cast("date")
+    if backwards:
+        k = F.floor((F.datediff(last, F.to_date(ts)) - 1) / days).cast("int")
+        return df.groupBy(k.alias("_i")).agg(F.count(F.lit(1)).alias("n")).select(
+            F.greatest(F.date_add(last, -(F.col("_i") + 1) * days), first).alias("window_start"),
+            F.date_add(last, -F.col("_i") * days).alias("window_end"),
+            "n",
+        )
     i = F.floor(F.datediff(F.to_date(ts), first) / days).cast("int")
     return (
         df.groupBy(i.alias("_i"))
