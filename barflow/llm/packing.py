@@ -24,7 +24,8 @@ WINDOW = 2048
 QUANTUM = 128
 END = 1
 ROUNDS_PER_BLOCK = 4096
-_MOST_KNOWN = 500_000
+ROWS_AT_ONCE = 256
+_MOST_KNOWN = 300_000
 
 
 class Encoder:
@@ -86,11 +87,18 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A few rows at a time, so that a task holds the tokens of those only."""
+    for batch in batches:
+        for k in range(0, len(batch), ROWS_AT_ONCE):
+            yield batch.iloc[k : k + ROWS_AT_ONCE]
+
+
 def _tokens(path: str, end: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, task = _encoder(path), TaskContext.get().partitionId()
         close, sent = np.asarray([end], "<u4").tobytes(), defaultdict(int)
-        for batch in batches:
+        for batch in _slices(batches):
             ids = [encoder.encode(text or "") + close for text in batch["text"]]
             counts, starts = [len(x) // 4 for x in ids], []
             for source, n in zip(batch["queue"], counts, strict=True):
@@ -103,7 +111,7 @@ def _tokens(path: str, end: int):
 
 def _cut(quantum: int, keep_ids: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             first = batch["first"].to_numpy(np.int64)
             n = batch["n"].to_numpy(np.int64)
             cells = (first + n - 1) // quantum - first // quantum + 1
