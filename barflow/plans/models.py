@@ -431,7 +431,48 @@ def _(spark, sf):
     return tidy(m.select("seg", "n", "intercept", F.col("coefficients")[0].alias("w1"), F.col("coefficients")[1].alias("w2")))
 
 
-@query("a37_ridge_all_assets")
+def _ridge_sql(features, target="ln(lead(close, 4) OVER ({wa}) / close)", alpha=1.0):
+    """The whole of a37 in SQL: the normal equations are eliminated column by column, one CTE each."""
+    p = len(features)
+    x, rhs = [f"x{i}" for i in range(p)], p
+    each = lambda form, sep=", ": sep.join(form.format(i=i) for i in range(p))
+    up = [(i, j) for i in range(p) for j in range(i, p + 1)]
+    second = lambda j: f"(y - ay)" if j == rhs else f"(z{j} - a{j})"
+    parts = [
+        "fx AS (SELECT asset, ts, " + ", ".join(f"{f} AS {n}" for f, n in zip(features, x)) + f", {target.format(wa=WA)} AS y FROM v)",
+        "dt AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY asset) AS n FROM fx WHERE y IS NOT NULL)",
+        """sp AS (SELECT *, CASE WHEN i < floor(n * 0.7::DOUBLE) THEN 'train' WHEN i < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM dt)""",
+        "md AS (SELECT asset, " + each("median(x{i}) AS m{i}") + " FROM sp WHERE split = 'train' GROUP BY 1)",
+        "im AS (SELECT sp.asset, split, y, " + each("coalesce(x{i}, m{i}) AS x{i}") + " FROM sp JOIN md ON md.asset = sp.asset)",
+        "sc AS (SELECT asset, " + each("avg(x{i}) AS m{i}, CASE WHEN stddev_pop(x{i}) = 0 THEN 1 ELSE stddev_pop(x{i}) END AS s{i}") + " FROM im WHERE split = 'train' GROUP BY 1)",
+        "z AS (SELECT im.asset, split, y, " + each("coalesce((x{i} - m{i}) / s{i}, 0) AS z{i}") + " FROM im JOIN sc ON sc.asset = im.asset)",
+        "c AS (SELECT asset, avg(y) AS ay, " + each("avg(z{i}) AS a{i}") + " FROM z WHERE split = 'train' GROUP BY 1)",
+        "e0 AS (SELECT z.asset, " + ", ".join(f"sum((z{i} - a{i}) * {second(j)}) + {alpha if i == j else 0}::DOUBLE AS g{i}_{j}" for i, j in up) + " FROM z JOIN c ON c.asset = z.asset WHERE split = 'train' GROUP BY 1)",
+    ]
+    for k in range(p):
+        cells = [f"g{i}_{j} - g{k}_{i} * g{k}_{j} / g{k}_{k} AS g{i}_{j}" if i > k else f"g{i}_{j}" for i, j in up]
+        parts.append(f"e{k + 1} AS (SELECT asset, {', '.join(cells)} FROM e{k})")
+    solved = [f"(g{i}_{rhs}" + "".join(f" - g{i}_{j} * w{j}" for j in range(i + 1, p)) + f") / g{i}_{i} AS w{i}" for i in reversed(range(p))]
+    parts += [
+        f"w AS (SELECT asset, {', '.join(solved)} FROM e{p})",
+        "f AS (SELECT z.asset, split, y AS a, ay + " + each("w{i} * (z{i} - a{i})", " + ") + " AS p FROM z JOIN c ON c.asset = z.asset JOIN w ON w.asset = z.asset)",
+        f"m AS (SELECT asset, split, {metric_cols()} FROM f GROUP BY 1, 2)",
+    ]
+    more = f"{rd('pred_std / actual_std', 'std_ratio')}, {rd('(zero_mae - mae) / (zero_mae + 1e-10) * 100', 'mae_vs_zero_pct', 5)}, {rd('(zero_rmse - rmse) / (zero_rmse + 1e-10) * 100', 'rmse_vs_zero_pct', 5)}"
+    return with_(BARS_D, LR, VOL, *parts) + f"SELECT asset, split, n, {rds(*BASE)}, {more} FROM m"
+
+
+# in the order of SC.RIDGE
+RIDGE_FEATURES = (
+    *(f"CASE WHEN count(lr) {frame(2 * n - 2, 1 - n)} = {n} THEN sum(lr) {frame(2 * n - 2, 1 - n)} END" for n in (1, 4, 8, 16)),
+    *(full("avg", "close", n) for n in (4, 8, 16)),
+    *(full("stddev_samp", "close", n) for n in (4, 8, 16)),
+    *(f"close / lag(close, {n}) OVER ({WA}) - 1" for n in (4, 16)),
+    "vol_20",
+)
+
+
+@query("a37_ridge_all_assets", _ridge_sql(RIDGE_FEATURES))
 def ridge_all_assets(spark, sf):
     """Dataset -> split -> impute -> scale -> ridge -> metrics of every split, all assets at once."""
     bars = A.bars_daily(spark, sf)
@@ -446,7 +487,7 @@ def ridge_all_assets(spark, sf):
     scaled = session.settle(M.scale(filled, scaler, ["asset"], SC.RIDGE), "scaled")
     model = M.fit_ridge(scaled.filter("split = 'train'"), ["asset"], SC.RIDGE, "ret_4h")
     out = M.predict_linear(scaled, model, ["asset"], SC.RIDGE, E.P).withColumnRenamed("ret_4h", E.Y)
-    return tidy(E.metrics(out, ["asset", "split"]))
+    return tidy(E.metrics(out, ["asset", "split"]), mae_vs_zero_pct=5, rmse_vs_zero_pct=5)
 
 
 SEQ = """q AS (SELECT asset, ts, split, close, list(printf('%.2f', close)) OVER w AS l, count(*) OVER w AS c FROM s

@@ -189,13 +189,14 @@ def _(spark, sf):
 @query(
     "s17_run_log",
     with_(BARS_H)
-    + "SELECT 'bars' AS source, asset, 'ok' AS status, count(*) AS rows_saved, 1 AS has_time FROM b GROUP BY asset",
+    + "SELECT 'bars' AS source, asset, 'ok' AS status, count(*) + count(*) FILTER (volume >= 3) AS rows_attempted, count(*) AS rows_saved, 1 AS has_time FROM b GROUP BY asset",
 )
 def _(spark, sf):
     path = session.scratch(spark, "log")
-    SK.log_run(A.bars_hourly(spark, sf), path, "bars")
+    bars = A.bars_hourly(spark, sf)
+    SK.log_run(bars, path, "bars", attempted=bars.unionByName(bars.filter("volume >= 3")))
     out = spark.read.parquet(path)
-    return out.select("source", "asset", "status", "rows_saved", F.col("run_at").isNotNull().cast("int").alias("has_time"))
+    return out.select("source", "asset", "status", "rows_attempted", "rows_saved", F.col("run_at").isNotNull().cast("int").alias("has_time"))
 
 
 @query(

@@ -13,7 +13,7 @@ from functools import reduce
 from operator import and_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from barflow import session
@@ -34,6 +34,9 @@ def with_month(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at a path, None before its first write."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
     try:
         return spark.read.option("mergeSchema", "true").parquet(path)
     except AnalysisException as exc:
@@ -85,16 +88,17 @@ def insert_if_absent(df: DataFrame, path: str, key: Sequence[str], order: Sequen
     With `parts` the key must determine the partition, so only those are looked at.
     """
     spark = df.sparkSession
-    batch = session.settle(df, "batch")
+    tried = Observation()
+    batch = session.settle(df.observe(tried, F.count(F.lit(1)).alias("n")), "batch")
     fresh = dedup(batch, key, order)
     old = stored(spark, path)
     if old is not None:
         fresh = missing_keys(fresh, _touched(old, batch, parts), key)
-    fresh = session.settle(fresh, "fresh")
-    saved = fresh.count()
-    if saved:
+    new = Observation()
+    fresh = session.settle(fresh.observe(new, F.count(F.lit(1)).alias("n")), "fresh")
+    if new.get["n"]:
         _write(fresh, path, parts, "append")
-    return Written(batch.count(), saved)
+    return Written(tried.get["n"], new.get["n"])
 
 
 def upsert(df: DataFrame, path: str, key: Sequence[str], order: Sequence[str], parts: Sequence[str] = ()) -> Written:
@@ -104,15 +108,16 @@ def upsert(df: DataFrame, path: str, key: Sequence[str], order: Sequence[str], p
     read and overwritten in one job.
     """
     spark = df.sparkSession
-    batch = session.settle(dedup(df, key, order, keep="last"), "batch")
+    tried, saved = Observation(), Observation()
+    one = F.count(F.lit(1)).alias("n")
+    batch = session.settle(dedup(df.observe(tried, one), key, order, keep="last").observe(saved, one), "batch")
     old = stored(spark, path)
     merged = batch
     if old is not None:
         kept = missing_keys(_touched(old, batch, parts), batch, key)
         merged = session.settle(kept.unionByName(batch, allowMissingColumns=True), "merged")
     _write(merged, path, parts, "overwrite")
-    n = batch.count()
-    return Written(n, n)
+    return Written(tried.get["n"], saved.get["n"])
 
 
 def replace_slice(df: DataFrame, path: str, slices: Sequence[str] = ("asset", "prediction_horizon", "target_mode")) -> None:
@@ -172,11 +177,15 @@ def export_csv(df: DataFrame, path: str, decimals: int = 8) -> None:
     df.select(*cols).write.mode("overwrite").option("header", True).csv(path)
 
 
-def log_run(df: DataFrame, path: str, source: str, status: str = "ok", error: str | None = None) -> None:
-    """Append one log row per asset with the number of rows of this run."""
-    rows = df.groupBy("asset").agg(F.count(F.lit(1)).alias("rows_saved")).select(
-        F.lit(source).alias("source"), "asset", F.lit(status).alias("status"),
-        F.col("rows_saved").alias("rows_attempted"), "rows_saved", F.lit(error).alias("error"),
-        F.current_timestamp().alias("run_at"),
-    )
+def log_run(
+    df: DataFrame, path: str, source: str, status: str = "ok", error: str | None = None, attempted: DataFrame | None = None
+) -> None:
+    """Append one log row per asset with the numbers of rows tried (`attempted`, else `df`) and saved (`df`)."""
+    tried = (df if attempted is None else attempted).select("asset", F.lit(1).alias("_tried"), F.lit(0).alias("_saved"))
+    saved = df.select("asset", F.lit(0).alias("_tried"), F.lit(1).alias("_saved"))
+    rows = tried.unionByName(saved).groupBy("asset").agg(F.sum("_tried").alias("rows_attempted"), F.sum("_saved").alias("rows_saved"))
+    rows = rows.select(
+        F.lit(source).alias("source"), "asset", F.lit(status).alias("status"), "rows_attempted", "rows_saved",
+        F.lit(error).alias("error"), F.current_timestamp().alias("run_at"),
+    )
     append(conform(rows, RUN_LOG), path)
