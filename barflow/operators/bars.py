@@ -24,11 +24,15 @@ def resample(
 ) -> DataFrame:
     """Bars of length `step`, closed and labelled on the left, incomplete ones dropped.
 
-    First and last skip NULLs. Without `tie` the order is the time alone, which
-    lets Spark use a hash aggregate; give one where times repeat.
+    First and last skip NULLs. Where times repeat give a `tie`, an integer column: time
+    and tie make up one number, so ticks are hash-aggregated without a sort.
     """
+    instant = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(18,0)")
+    when = instant
+    if tie:  # a bigint has at most 19 digits
+        when = instant * F.lit("10000000000000000000").cast("decimal(20,0)") + F.col(tie).cast("decimal(19,0)")
+
     def at(c: str):
-        when = F.struct(F.col(ts), F.col(tie)) if tie else F.col(ts)
         return F.when(F.col(c).isNotNull(), when)
 
     out = df.groupBy("asset", F.window(ts, step).alias("_w")).agg(

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow import session
 from barflow.operators.series import Series, arrange, lookup, null_safe_join
 
 
@@ -28,9 +27,9 @@ def latest_n(
 ) -> DataFrame:
     """The latest n rows per key.
 
-    Spark trims to n per key in each task before it shuffles. On large inputs many
-    tasks would still send n rows of a hot key to one; a round over salted keys
-    leaves at most `salts` times n of them.
+    Spark trims to n per key in each task before it shuffles. Many tasks would still
+    send n rows of a hot key to one; the first round, over salted keys, leaves at most
+    `salts` times n of them, whatever the size of the input.
     """
     order = [F.col(ts).desc(), *[F.col(t).desc() for t in ties]]
 
@@ -38,10 +37,8 @@ def latest_n(
         w = Window.partitionBy(*part).orderBy(*order)
         return d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
-    if not session.fits_one_task(df):
-        salt = F.pmod(F.xxhash64(ts, *ties), F.lit(salts))
-        df = top(df.withColumn("_salt", salt), [*keys, "_salt"]).drop("_salt")
-    return top(df, keys)
+    salt = F.pmod(F.xxhash64(ts, *ties), F.lit(salts))
+    return top(top(df.withColumn("_salt", salt), [*keys, "_salt"]).drop("_salt"), keys)
 
 
 def latest(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:

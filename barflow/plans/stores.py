@@ -167,10 +167,13 @@ def _(spark, sf):
 )
 def _(spark, sf):
     path = session.scratch(spark, "latest")
-    a = A.articles(spark, sf).select("url", "asset", "event_id", "timestamp_utc", "confidence")
-    order = ["timestamp_utc", "event_id"]
-    SK.upsert(a.filter("confidence <= 0.5"), path, ["url", "asset"], order)
-    SK.upsert(a.filter("confidence > 0.5"), path, ["url", "asset"], order)
+    # by a hash of the url, so that a batch rewrites the folders of its own urls
+    a = A.articles(spark, sf).select(
+        "url", "asset", "event_id", "timestamp_utc", "confidence", F.pmod(F.xxhash64("url"), F.lit(16)).alias("shelf")
+    )
+    order, key, shelf = ["timestamp_utc", "event_id"], ["url", "asset"], ["shelf"]
+    SK.upsert(a.filter("confidence <= 0.5"), path, key, order, shelf)
+    SK.upsert(a.filter("confidence > 0.5"), path, key, order, shelf)
     return spark.read.parquet(path).select("url", "asset", "event_id")
 
 

@@ -28,6 +28,18 @@ SINGLE_TASK_BYTES = ("barflow.series.singleTaskBytes", 256 * 1024 * 1024)
 BLOCK_ROWS = ("barflow.series.blockRows", 65_536)
 
 _local_scratch: str | None = None
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _sweep() -> None:
+    """Scratch tables are of no use to any other process."""
+    for spark, path in _made:
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # the JVM may be gone already
+            return
 
 
 def build(
@@ -72,7 +84,9 @@ def scratch(spark: SparkSession, label: str) -> str:
             atexit.register(holder.cleanup)
             _local_scratch = holder.name
         root = _local_scratch
-    return f"{root.rstrip('/')}/barflow/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/barflow/{label}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
 
 
 def ship(spark: SparkSession) -> None:
