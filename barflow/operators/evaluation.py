@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.functions.columns import clip, correlation, direction, rolling, safe_ratio
@@ -302,29 +302,24 @@ def lag_diagnostic(df: DataFrame, keys: Sequence[str], ts: str = "ts", reach: in
     """Correlation of pred[i] with actual[i - lag] per lag in -reach..reach, marking the best.
 
     Best is the first lag of the largest absolute value; with all 0 it is lag 0. One
-    window pass shifts the actuals, one aggregation takes every correlation.
+    window pass shifts the actuals; each row then stands once for each lag, so one
+    small aggregate by lag, summed up before the shuffle, takes every correlation.
     """
     lags = list(range(-reach, reach + 1))
     rows = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).select(*keys, ts, p, y)
 
     def fn(d, w):
-        return d.withColumns({f"_y{k}": F.lag(y, k).over(w) for k in lags})
+        return d.withColumn("_y", F.array(*[F.lag(y, k).over(w) for k in lags]))
 
     shifted = arrange(rows, keys, [ts]).bounded(fn, back=reach, ahead=reach).frame()
-    aggs = []
-    for k in lags:
-        b = F.col(f"_y{k}")
-        a = F.when(b.isNotNull(), F.col(p))
-        ok = (F.count(b) >= 5) & (F.stddev_pop(a) >= TINY) & (F.stddev_pop(b) >= TINY)
-        c = correlation(a, b)
-        aggs.append(F.when(ok & ~F.isnan(c), c).otherwise(F.lit(0.0)).alias(f"_c{k}"))
-    out = shifted.groupBy(*keys).agg(*aggs)
-    cells = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_c{k}").alias("corr")) for k in lags])
-    top = F.greatest(*[F.abs(F.col(f"_c{k}")) for k in lags])
-    first = F.coalesce(*[F.when((F.abs(F.col(f"_c{k}")) == top) & (top > 0), F.lit(k)) for k in lags], F.lit(0))
-    return out.select(*keys, first.alias("_best"), F.explode(cells).alias("c")).select(
-        *keys, "c.lag", "c.corr", (F.col("c.lag") == F.col("_best")).alias("best")
-    )
+    pairs = shifted.select(*keys, p, F.posexplode("_y").alias("_slot", "_b"))
+    a, b = F.when(F.col("_b").isNotNull(), F.col(p)), F.col("_b")
+    c = correlation(a, b)
+    ok = (F.count(b) >= 5) & (F.stddev_pop(a) >= TINY) & (F.stddev_pop(b) >= TINY) & ~F.isnan(c)
+    out = pairs.groupBy(*keys, (F.col("_slot") - reach).alias("lag")).agg(F.when(ok, c).otherwise(0.0).alias("corr"))
+    size = F.abs("corr")
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(size.desc(), F.when(size > 0, F.col("lag")).otherwise(F.abs("lag")), "lag"))
+    return out.select(*keys, "lag", "corr", (first == 1).alias("best"))
 
 
 def residual_histogram(df: DataFrame, keys: Sequence[str], bins: int = 50) -> DataFrame:
