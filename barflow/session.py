@@ -102,9 +102,6 @@ def ship(spark: SparkSession) -> None:
     context._barflow_shipped = True
 
 
-def estimated_bytes(*frames: DataFrame) -> int:
-    """Catalyst's size estimate, summed; no job is run."""
-    return sum(int(str(f._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for f in frames)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -121,10 +118,11 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def fits_one_task(*frames: DataFrame) -> bool:
-    """Whether the frames together are small enough for one task per key.
+    """Whether what the frames read is small enough for one task per key.
 
-    Spark takes a join for the product of its sides. Joins here are on unique keys and
-    cannot outgrow what they read, apart from decompression, so the input counts too.
+    Files are counted four times, as they are compressed. Spark's own estimate of a
+    result is not asked: it takes a join for the product of its sides, and a filter or
+    an aggregate for whatever its statistics happen to say.
     """
     limit = setting(frames[0].sparkSession, SINGLE_TASK_BYTES)
-    return 4 * sum(input_bytes(f) for f in frames) <= limit or estimated_bytes(*frames) <= limit
+    return 4 * sum(input_bytes(f) for f in frames) <= limit
