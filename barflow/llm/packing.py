@@ -25,7 +25,14 @@ QUANTUM = 128
 END = 1
 ROUNDS_PER_BLOCK = 4096
 ROWS_AT_ONCE = 256
-_MOST_KNOWN = 300_000
+_MOST_KNOWN = 900_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it is printable, else one past 255."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class Encoder:
@@ -49,33 +56,48 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         rules = json.loads(self.tokenizer.to_str())
         normal = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers", [])]
-        cut = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        cut, *after = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.by_word = (
             normal == self.NORMALIZERS and cut.get("pattern") == {"Regex": self.SPLIT} and cut.get("invert") is True
-            and (rules.get("model") or {}).get("end_of_word_suffix") is not None
+            and [(x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) for x in after] == [("ByteLevel", False, False)]
         )
         chars = [chr(c) for c in range(0x180)]
         letters, numbers = (re.escape("".join(c for c in chars if unicodedata.category(c)[0] == k)) for k in "LN")
         self.words = re.compile(self.SPLIT.replace(r"\p{L}", letters).replace(r"\p{N}", numbers))
         self.marks = [x["content"] for x in rules.get("added_tokens", [])]
+        self.model = self.tokenizer.model
+        self.bytes = _byte_letters()
         self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if not self.by_word or not self.PLAIN.fullmatch(text) or any(m in text for m in self.marks):
-            return self._ids(text)
+    def _word(self, word: str) -> bytes:
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
+        return np.asarray([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Look up what stands between spaces: cut into words, each new word goes through the tokenizer's model."""
+        known = self.known
+        for chunk in chunks:
+            words = self.words.findall(chunk)
+            for word in words:
+                if word not in known:
+                    known[word] = self._word(word)
+            if len(words) != 1:
+                known[chunk] = b"".join(map(known.__getitem__, words))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [
+            t.lower().split() if self.by_word and self.PLAIN.fullmatch(t) and not any(m in t for m in self.marks) else None
+            for t in texts
+        ]
         known = self.known
-        words = self.words.findall(text.lower())
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > _MOST_KNOWN:
-                known.clear()
-            for word in set(words).difference(known):
-                known[word] = self._ids(word)
-            return b"".join(map(known.__getitem__, words))
+        if len(known) > _MOST_KNOWN:
+            known.clear()
+        if missing := set().union(*filter(None, plain)).difference(known):
+            self._learn(missing)
+        return [b"".join(map(known.__getitem__, c)) if c is not None else self._ids(t) for c, t in zip(plain, texts, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -99,7 +121,7 @@ def _tokens(path: str, end: int):
         encoder, task = _encoder(path), TaskContext.get().partitionId()
         close, sent = np.asarray([end], "<u4").tobytes(), defaultdict(int)
         for batch in _slices(batches):
-            ids = [encoder.encode(text or "") + close for text in batch["text"]]
+            ids = [x + close for x in encoder.encode([text or "" for text in batch["text"]])]
             counts, starts = [len(x) // 4 for x in ids], []
             for source, n in zip(batch["queue"], counts, strict=True):
                 starts.append(sent[source])

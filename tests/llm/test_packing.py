@@ -29,8 +29,8 @@ def test_ids_equal_the_tokenizers():
     rng = random.Random(1)
     letters = [chr(c) for c in range(9, 0x180)] + [" "] * 60 + ["'"] * 9 + list("strvmlde") * 9
     texts = SAMPLES + ["".join(rng.choices(letters, k=60)) for _ in range(3000)]
-    for text in texts:
-        assert encoder.encode(text) == np.asarray(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids == np.asarray(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
 @pytest.mark.parametrize("weighted", [False, True])
@@ -39,7 +39,7 @@ def test_pack(spark, documents, weighted, monkeypatch):
     weights = spark.createDataFrame([("s0", 3.0), ("s1", 1.0), ("big", 2.0), ("s2", 0.0)], "source string, weight double") if weighted else None
     rows = packing.pack(documents(ROWS).repartition(3), queries.tokenizer(), weights).collect()
     encoder = packing.Encoder(queries.tokenizer())
-    want = Counter(encoder.encode(t or "") + b"\x01\0\0\0" for _, t, _ in ROWS)
+    want = Counter(encoder.encode([t or ""])[0] + b"\x01\0\0\0" for _, t, _ in ROWS)
     used, parts = defaultdict(list), defaultdict(list)
     for r in rows:
         assert r.length > 0 and r.ids_crc32 == zlib.crc32(r.ids) and len(r.ids) == 4 * r.length
@@ -57,7 +57,7 @@ def test_pack(spark, documents, weighted, monkeypatch):
     for i, t, _ in ROWS:
         if i == 5 and t == "same":
             continue
-        own = encoder.encode(t or "") + b"\x01\0\0\0"
+        own = encoder.encode([t or ""])[0] + b"\x01\0\0\0"
         mine = sorted(p for p in parts[i] if p[3] == len(own) // 4)
         assert b"".join(p[2] for p in mine) == own and [p[0] for p in mine] == list(np.cumsum([0, *(p[1] for p in mine)])[:-1])
 

@@ -71,7 +71,7 @@ def test_source_mix(outputs):
 def test_mixture_packing(outputs):
     before, after = outputs[0][4:]
     encoder = packing.Encoder(queries.tokenizer())
-    tokens = sum(len(encoder.encode(r["text"] or "")) // 4 + 1 for r in before)
+    tokens = sum(len(encoder.encode([r["text"] or ""])[0]) // 4 + 1 for r in before)
     assert sum(r["length"] for r in after) == tokens == sum(len(r["ids"]) // 4 for r in after)
     ends = Counter()
     for r in after:
