@@ -25,7 +25,7 @@ QUANTUM = 128
 END = 1
 ROUNDS_PER_BLOCK = 4096
 ROWS_AT_ONCE = 256
-_MOST_KNOWN = 900_000
+_MOST_KNOWN = 600_000
 
 
 def _byte_letters() -> dict[int, str]:
