@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +18,40 @@ from barflow.llm import text as T
 RUN_SENTENCES, RUN_WORDS = 3, 12
 # A stretch of repeated sentences goes if it has at least so many words.
 LEAST_WORDS = 35
-# A sentence ends at . ! ? before a space, at a line's end, or before a word with a capital.
-_SENTENCE = regex.compile(r"\S[^\n]*?(?:[.!?…。！？]+(?=\s|$)|(?=\s+\p{Lu})|(?=\s*(?:\n|$)))")
+# A sentence ends at one of these before a space, at a line's end, or before a word with a capital.
+ENDERS = ".!?…。！？"
 _BASE = 0x9E3779B97F4A7C15
+_SPACE, _LINE, _CAPITAL, _ENDER = 1, 2, 4, 8
+
+_kinds: np.ndarray | None = None
+
+
+def _kind_of() -> np.ndarray:
+    """What each code point is, as bits."""
+    global _kinds
+    if _kinds is None:
+        chars = map(chr, range(0x110000))
+        _kinds = np.fromiter((_SPACE * c.isspace() | _CAPITAL * (unicodedata.category(c) == "Lu") for c in chars), np.uint8, 0x110000)
+        _kinds[ord("\n")] |= _LINE
+        _kinds[[ord(c) for c in ENDERS]] |= _ENDER
+    return _kinds
 
 
 def split(text: str) -> list[tuple[int, int]]:
-    """First and last character (exclusive) of every sentence."""
-    return [m.span() for m in _SENTENCE.finditer(text)]
+    """First and last character (exclusive) of every sentence: what stands between the spaces that end one."""
+    n = len(text)
+    if not n:
+        return []
+    kinds = _kind_of()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    space = np.zeros(n + 2, np.int8)
+    space[1:-1] = kinds & _SPACE
+    turns = np.flatnonzero(np.diff(space))
+    first, last = turns[::2], turns[1::2]  # runs of spaces
+    lines = np.cumsum(np.r_[0, (kinds & _LINE) > 0])
+    stop = (lines[last] > lines[first]) | (kinds[first - 1] & _ENDER > 0) | (kinds[np.minimum(last, n - 1)] & _CAPITAL > 0)
+    stop |= (first == 0) | (last == n)
+    begin, end = np.r_[0, last[stop]].tolist(), np.r_[first[stop], n].tolist()
+    return [(a, b) for a, b in zip(begin, end, strict=True) if a < b]
 
 
 def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import defaultdict
 
 from barflow.llm import sentences as S
@@ -76,6 +77,19 @@ def test_dedup_equals_brute_force(documents):
     assert all(r.n_removed == 0 for r in got if r.doc_id is not None and 36 <= r.doc_id < 56)
 
 
+def test_split_at_spaces():
+    texts = [t for _, t in rows() if t and len(t) < 3000] + ["Eins zwei. drei  Vier\n\n fünf!? Sechs", " .a. b", "A", "\n", "x\u00a0Y z.\u2003w", "Ab Él. 。 c"]
+    for text in texts:
+        want, at = [], 0
+        for gap in re.finditer(r"\s+", text):
+            before, after = text[: gap.start()], text[gap.end() :]
+            if not before or not after or before[-1] in S.ENDERS or "\n" in gap.group() or after[0].isupper():
+                want += [(at, gap.start())] * (at < gap.start())
+                at = gap.end()
+        want += [(at, len(text))] * (at < len(text))
+        assert S.split(text) == want, text
+
+
 def test_same_row_twice_stays(documents):
     text = prose(90)
     assert [r.text for r in S.dedup(documents([(1, text), (1, text)])).collect()] == [text, text]
