@@ -135,7 +135,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "h", F.explode(F.arrays_zip("first", "last", "keys")).alias("r"))
     spread = session.settle(spread.select("doc_id", "h", "r.first", "r.last", F.col("r.keys").alias("key")), "runs")
     place = F.struct("doc_id", "h", F.col("first"))
-    seen = spread.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("origin")).filter("n > 1")
+    # written, so that both sides of the join are plain exchanges, and Spark may split a key with very many rows
+    seen = session.settle(spread.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("origin")).filter("n > 1"), "seen")
     again = spread.join(seen.hint("merge"), "key").filter(~place.eqNullSafe(F.col("origin")))
     cuts = again.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(
         F.collect_set(F.struct("first", "last")).alias("cuts")
