@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barflow import session
@@ -19,6 +20,10 @@ from barflow.llm import text as T
 WIDTH, SIMILARITY = 5, 0.8
 # Sketches of a text, and minima in each: at the least similarity 0.8 a pair shares a sketch with 1 - (1 - 0.8^5)^20 = 0.9996.
 BANDS, MINIMA = 20, 5
+# Leaders of a bucket in the first of the later rounds, and how many times more in each that follows.
+LEADERS, MORE = 2, 16
+# Members of a bucket that one row of a leader meets.
+SHARE = 4096
 _WORD = re.compile(r"\w+")
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _MOST_KNOWN = 500_000
@@ -92,6 +97,12 @@ def sketches(kmers: np.ndarray, bands: int = BANDS, minima: int = MINIMA) -> np.
     return keys if n else keys[:0]
 
 
+def parities(kmers: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the k-mers fall on each of 256 bits: two texts differ by one bit at most for each k-mer of one alone."""
+    odd = np.bincount((_mixed(kmers * _STEP) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Order-preserving matches of two labelled k-mer sequences over their union, by an alignment within a band.
 
@@ -117,14 +128,15 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        nodes, sizes, keys = [], [], []
+        nodes, sizes, keys, odd = [], [], [], []
         for text in batch["text"]:
             codes = word_codes(text)
             kmers = labelled_kmers(codes)
             nodes.append(hashlib.blake2b(codes.tobytes(), digest_size=12).digest())
             sizes.append(len(kmers))
             keys.append(sketches(kmers).view(np.int64))
-        yield pd.DataFrame({"id": batch["id"], "file": batch["file"], "row": batch["row"], "node": nodes, "n": sizes, "keys": keys})
+            odd.append(parities(kmers))
+        yield pd.DataFrame({"id": batch["id"], "file": batch["file"], "row": batch["row"], "node": nodes, "n": sizes, "keys": keys, "odd": odd})
 
 
 def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,6 +161,31 @@ def _candidates(points: DataFrame, leaders: DataFrame) -> DataFrame:
     )
 
 
+def _open_pairs(tied: DataFrame, low: int, high: int) -> DataFrame:
+    """Pairs (a, b) of different components, one a leader of rank low + 1 to high in a bucket and the other after it there.
+
+    `tied` has key, size (of the bucket), node, n, odd, by (the order of nodes), of. Pairs that can't be similar by their
+    lengths or parities are left out. A leader meets a large bucket in shares of SHARE members.
+    """
+    shares = F.ceil(F.col("size") / SHARE).cast("int")
+    rank = F.row_number().over(W.partitionBy("key").orderBy("by"))
+    lead = F.struct("by", "node", "n", "odd", "of").alias("lead")
+    leaders = (
+        tied.withColumn("rank", rank).filter(F.col("rank") <= high).filter(F.col("rank") > low)
+        .select("key", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), lead)
+    )
+    n, m = F.col("n"), F.col("lead.n")
+    differ = sum((F.bit_count(F.col("odd")[k].bitwiseXOR(F.col("lead.odd")[k])) for k in range(4)), F.lit(0))
+    most = (n + m) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+    return (
+        tied.withColumn("share", F.pmod(F.xxhash64("node"), shares).cast("int")).join(leaders.hint("merge"), ["key", "share"])
+        .filter((F.col("by") > F.col("lead.by")) & (F.col("of") != F.col("lead.of")))
+        .filter((F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & (differ <= most))
+        .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+        .distinct()
+    )
+
+
 def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     first = bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     second = bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -160,12 +197,13 @@ def _decided(rows: DataFrame) -> DataFrame:
     """For each of the located rows: doc_id, file, row, class_id, class_size, kept.
 
     Texts with equal words (case and punctuation aside) are one node. A node has BANDS sketches; nodes with a sketch in
-    common form a bucket. Each bucket's members are aligned with its leader, the node with the least content hash, which is
-    mostly the same one in all buckets of a group; groups join through components. Where a bucket still holds more than one
-    component, its members are aligned with two further leaders, one at the other end of the hash order and one drawn for
-    this bucket alone. So work grows with the members of a bucket, never with its pairs: a pair that shares k sketches is
-    found unless in all k buckets neither is, nor is tied to, a leader, while nodes that share only a passage meet in the
-    buckets of that passage alone. Texts are one class when linked by pairs with a similarity of SIMILARITY or more.
+    common form a bucket. First each bucket's members are aligned with the node with the least content hash, which is mostly
+    the same one in all buckets of a group; groups join through components. While a bucket holds more than one component, its
+    members are aligned with further leaders, those first that have most company over all such buckets, such as the
+    original among its copies. Rounds go on, with MORE times the leaders each, until every member has been a leader: a pair
+    that shares a sketch is left unaligned only if both are in one component already, or if lengths or parities exclude the
+    similarity. So work grows with the members of a bucket where they are one group, and with its pairs, compared by
+    their parities alone, where they are not. Texts are one class when linked by pairs with a similarity of SIMILARITY or more.
 
     class_id is the least doc_id of the class (null ids last); that row stays, and among rows with the same id the first in
     the files. Null and empty texts have no words and are one class. Fewer words than WIDTH are one k-mer. An empty table
@@ -175,18 +213,14 @@ def _decided(rows: DataFrame) -> DataFrame:
     read = rows.select(F.col("doc.doc_id").alias("id"), "at.file", "at.row", F.col("doc.text").alias("text"))
     kind = read.schema["id"].dataType.simpleString()
     points = session.settle(
-        read.mapInPandas(_sketch, f"id {kind}, file string, row bigint, node binary, n int, keys array<bigint>"), "sketches"
+        read.mapInPandas(_sketch, f"id {kind}, file string, row bigint, node binary, n int, keys array<bigint>, odd array<bigint>"), "sketches"
     )
     spread = points.select("node", "n", F.explode("keys").alias("key"))
-    lead = F.struct("node", "n")
 
-    def buckets(df: DataFrame, by: str) -> DataFrame:
-        return df.groupBy("key").agg(
-            F.min(lead).alias("low"), F.max(lead).alias("high"), F.min_by(lead, F.xxhash64("key", "node")).alias("own"),
-            F.min(by).alias("one"), F.max(by).alias("other"),
-        ).filter("one != other")
+    def buckets(df: DataFrame, by: str, *values) -> DataFrame:
+        return df.groupBy("key").agg(*values, F.min(by).alias("one"), F.max(by).alias("other")).filter("one != other")
 
-    shared = session.settle(buckets(spread, "node").select("key", "low"), "buckets")
+    shared = session.settle(buckets(spread, "node", F.min(F.struct("node", "n")).alias("low")).select("key", "low"), "buckets")
     pairs = session.settle(_candidates(spread, shared.select("key", F.col("low").alias("lead"))), "pairs")
     # texts of all nodes in a shared bucket, one row each
     wanted = spread.join(shared.select("key").hint("merge"), "key", "left_semi").select("node").distinct()
@@ -195,23 +229,33 @@ def _decided(rows: DataFrame) -> DataFrame:
     places = chosen.select("node", "at.file", "at.row")
     bodies = session.settle(texts.join(places.hint("merge"), ["file", "row"]).select("node", "text"), "bodies")
 
-    edges = session.settle(_verified(pairs, bodies), "links")
-    found = graph.components(edges)
-    of = F.coalesce("component", "node")
-    tied = spread.join(shared.select("key").hint("merge"), "key", "left_semi").join(found.hint("merge"), "node", "left").withColumn("of", of)
-    split = session.settle(buckets(tied, "of").select("key", F.explode(F.array("high", "own")).alias("lead")), "split")
-    again = (
-        _candidates(tied, split)
-        .join(found.select(F.col("node").alias("a"), F.col("component").alias("of_a")).hint("merge"), "a", "left")
-        .join(found.select(F.col("node").alias("b"), F.col("component").alias("of_b")).hint("merge"), "b", "left")
-        .filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .join(pairs.hint("merge"), ["a", "b"], "left_anti")
+    found = graph.components(session.settle(_verified(pairs, bodies), "links"))
+    within = found.select("node", F.col("component").alias("of"))
+    tied = spread.join(shared.select("key").hint("merge"), "key", "left_semi").join(within.hint("merge"), "node", "left")
+    split = session.settle(buckets(tied.withColumn("of", F.coalesce("of", "node")), "of").select("key"), "split")
+    loose = session.settle(spread.join(split.hint("merge"), "key", "left_semi").distinct(), "loose")
+    sizes = session.settle(loose.groupBy("key").agg(F.count("*").alias("size")), "sizes")
+    company = loose.join(sizes.hint("merge"), "key").groupBy("node").agg(F.sum("size").alias("company"))
+    odd = points.join(company.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("odd").alias("odd"))
+    known = session.settle(
+        company.join(odd.hint("merge"), "node").select("node", "odd", F.struct(-F.col("company"), F.col("node")).alias("by")), "known"
     )
-    more = session.settle(_verified(session.settle(again, "pairs"), bodies), "links")
-    if not more.isEmpty():
-        found = graph.components(edges.unionByName(more))
+    loose = session.settle(loose.join(known.hint("merge"), "node").join(sizes.hint("merge"), "key"), "loose")
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    low, high = 0, LEADERS
+    while True:
+        within = found.select("node", F.col("component").alias("of"))
+        tied = loose.join(within.hint("merge"), "node", "left").withColumn("of", F.coalesce("of", "node"))
+        split = session.settle(buckets(tied, "of", F.max("size").alias("most")).filter(F.col("most") > low + 1).select("key"), "split")
+        if split.isEmpty():
+            break
+        tied = session.settle(tied.join(split.hint("merge"), "key", "left_semi"), "tied")
+        again = session.settle(_open_pairs(tied, low, high).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        more = session.settle(_verified(again, bodies), "links")
+        if not more.isEmpty():
+            found = graph.components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        tried = tried.unionByName(again)
+        low, high = high, high * MORE
 
     member = session.settle(
         points.join(found.hint("merge"), "node", "left").select("id", "file", "row", F.coalesce("component", "node").alias("of")), "members"

@@ -62,6 +62,26 @@ def test_classes_equal_all_pairs(documents):
     assert len(set(want)) > 80
 
 
+def test_copies_of_one_original_and_chains_of_versions(documents):
+    r = random.Random(8)
+
+    def edited(words, at):
+        out = list(words)
+        for k in at:
+            out[k] = r.choice(VOCABULARY)
+        return out
+
+    base = r.choices(VOCABULARY, k=200)
+    star = [base] + [edited(base, r.sample(range(5, 195), r.choice((3, 4)))) for _ in range(300)]
+    chain = [r.choices(VOCABULARY, k=200)]
+    for k in range(60):
+        chain.append(edited(chain[-1], [(37 * k + 50 * j) % 190 + 5 for j in range(4)]))
+    texts = [" ".join(w) for w in star + chain]
+    got = {x.doc_id: x.class_id for x in M.classes(documents(list(enumerate(texts)))).collect()}
+    assert {got[i] for i in range(len(star))} == {0}
+    assert {got[i] for i in range(len(star), len(texts))} == {len(star)}
+
+
 def slow_similarity(a, b):
     table = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a):
