@@ -18,8 +18,10 @@ from barflow.llm import graph
 from barflow.llm import text as T
 
 WIDTH, SIMILARITY = 5, 0.8
-# Sketches of a text, and minima in each: at the least similarity 0.8 a pair shares a sketch with 1 - (1 - 0.8^5)^20 = 0.9996.
+# Sketches of a text, and minima in each: at the least similarity 0.8 a pair of long texts shares a sketch with 1 - (1 - 0.8^5)^20 = 0.9996.
 BANDS, MINIMA = 20, 5
+# Texts of at most so many k-mers meet any other at the least similarity for certain.
+FEW = 30
 # Leaders of a bucket in the first of the later rounds, and how many times more in each that follows.
 LEADERS, MORE = 2, 16
 # Members of a bucket that one row of a leader meets.
@@ -97,6 +99,39 @@ def sketches(kmers: np.ndarray, bands: int = BANDS, minima: int = MINIMA) -> np.
     return keys if n else keys[:0]
 
 
+def exact_keys(kmers: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Keys of a text of few k-mers: it has one in common with any text that is similar to it, if one of both has at most FEW.
+
+    Two texts of n and m k-mers are similar if at most d = (n + m) * (1 - least) / (1 + least) of these are in one text alone.
+    So if k-mers are dealt by hash into d + 1 groups, one group is equal in both; for each d that occurs with a text of the
+    allowed lengths there is a key for each group's k-mers. An empty group has no key: texts with one also have the k-mers
+    of least hash, so many that similar texts share one of them, as keys.
+    """
+    n, part = len(kmers), (1 - least) / (1 + least)
+    low, high = int(np.ceil(least * n - 1e-9)), int(n / least + 1e-9)
+    if n > FEW:
+        high = FEW
+    if n == 0 or low > high:
+        return kmers[:0]
+    mixed, keys, empty = _mixed(kmers * _MIX), [], False
+    for d in range(int((n + low) * part + 1e-9), int((n + high) * part + 1e-9) + 1):
+        of = (_mixed(mixed * _SEEDS[d]) % np.uint64(d + 1)).astype(np.int64)
+        held = np.zeros(d + 1, np.uint64)
+        np.add.at(held, of, mixed)
+        full = np.bincount(of, minlength=d + 1) > 0
+        empty |= not full.all()
+        keys.append(_mixed((held ^ _SEEDS[256 + d]) * _STEP + np.arange(d + 1, dtype=np.uint64))[full])
+    if empty:
+        keys.append(np.sort(mixed)[: n - int(np.ceil(least * n - 1e-9)) + 1])
+    return np.unique(np.concatenate(keys))
+
+
+def all_keys(kmers: np.ndarray) -> np.ndarray:
+    """The buckets of a text. Texts of at most FEW k-mers need no sketches: what is similar to them has exact keys too."""
+    exact = exact_keys(kmers)
+    return np.r_[exact, sketches(kmers)] if len(kmers) > FEW else exact
+
+
 def parities(kmers: np.ndarray) -> np.ndarray:
     """Whether an odd number of the k-mers fall on each of 256 bits: two texts differ by one bit at most for each k-mer of one alone."""
     odd = np.bincount((_mixed(kmers * _STEP) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
@@ -134,7 +169,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kmers = labelled_kmers(codes)
             nodes.append(hashlib.blake2b(codes.tobytes(), digest_size=12).digest())
             sizes.append(len(kmers))
-            keys.append(sketches(kmers).view(np.int64))
+            keys.append(all_keys(kmers).view(np.int64))
             odd.append(parities(kmers))
         yield pd.DataFrame({"id": batch["id"], "file": batch["file"], "row": batch["row"], "node": nodes, "n": sizes, "keys": keys, "odd": odd})
 
@@ -196,12 +231,12 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 def _decided(rows: DataFrame) -> DataFrame:
     """For each of the located rows: doc_id, file, row, class_id, class_size, kept.
 
-    Texts with equal words (case and punctuation aside) are one node. A node has BANDS sketches; nodes with a sketch in
-    common form a bucket. First each bucket's members are aligned with the node with the least content hash, which is mostly
+    Texts with equal words (case and punctuation aside) are one node. A node has BANDS sketches, or exact keys if
+    it has few k-mers (see exact_keys); nodes with one in common form a bucket. First each bucket's members are aligned with the node with the least content hash, which is mostly
     the same one in all buckets of a group; groups join through components. While a bucket holds more than one component, its
     members are aligned with further leaders, those first that have most company over all such buckets, such as the
     original among its copies. Rounds go on, with MORE times the leaders each, until every member has been a leader: a pair
-    that shares a sketch is left unaligned only if both are in one component already, or if lengths or parities exclude the
+    that shares a bucket is left unaligned only if both are in one component already, or if lengths or parities exclude the
     similarity. So work grows with the members of a bucket where they are one group, and with its pairs, compared by
     their parities alone, where they are not. Texts are one class when linked by pairs with a similarity of SIMILARITY or more.
 

@@ -82,6 +82,33 @@ def test_copies_of_one_original_and_chains_of_versions(documents):
     assert {got[i] for i in range(len(star), len(texts))} == {len(star)}
 
 
+def test_short_texts_and_their_ends(documents):
+    r = random.Random(9)
+    texts = []
+    for n in (8, 9, 10, 11, 13, 17, 18, 24, 30, 34, 38, 41):
+        for _ in range(6):
+            words = r.choices(VOCABULARY, k=n)
+            some = (n - 4) // 5 or 1  # as many k-mers may go
+            texts += [words, words[some:], words[:-some], words[some // 2 : n - (some + 1) // 2]]
+    texts = [" ".join(w) for w in texts]
+    got = {x.doc_id: x.class_id for x in M.classes(documents(list(enumerate(texts)))).collect()}
+    assert got[4 * 6] == got[4 * 6 + 1] == got[4 * 6 + 2]  # 9 words against 8
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_exact_keys_miss_no_pair():
+    r = np.random.default_rng(2)
+    for _ in range(20_000):
+        n = int(r.integers(1, M.FEW + 1))
+        a = r.integers(0, 2**63, n).astype(np.uint64)
+        m = int(r.integers(np.ceil(0.8 * n - 1e-9), int(n / 0.8 + 1e-9) + 1))
+        common = -(-4 * (n + m) // 9)
+        if common > min(n, m):
+            continue
+        b = np.r_[r.choice(a, common, replace=False), r.integers(0, 2**63, m - common).astype(np.uint64)]
+        assert set(M.all_keys(a).tolist()) & set(M.all_keys(b).tolist()), (n, m)
+
+
 def slow_similarity(a, b):
     table = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a):
