@@ -15,9 +15,9 @@ from barflow import session
 from barflow.llm import text as T
 
 # A run is the shortest stretch from a sentence on with so many sentences and words.
-RUN_SENTENCES, RUN_WORDS = 3, 12
-# A stretch of repeated sentences goes if it has at least so many words.
-LEAST_WORDS = 35
+RUN_SENTENCES, RUN_WORDS = 2, 12
+# A stretch of repeated sentences goes if it has at least so many words: every one does, as it has a run's words.
+LEAST_WORDS = RUN_WORDS
 # A sentence ends at one of these before a space, at a line's end, or before a word with a capital.
 ENDERS = ".!?…。！？"
 _BASE = 0x9E3779B97F4A7C15
@@ -118,8 +118,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, text (without what is repeated), n_sentences, n_removed, removed_words; one row per row of `docs`.
 
     All runs of all texts are joined by key. Of equal runs the first is that with the least doc_id (null before all), then by
-    content and place; sentences inside any other are repeated, and stretches of LEAST_WORDS or more repeated words go, the
-    rest of the text stays as it is. A run in very many texts is counted in every task before it is shuffled, and its
+    content and place; sentences inside any other are repeated and go, the rest of the text stays as it is. So of a repeated
+    passage what stays is the sentences cut at its ends, or all if no two whole sentences with RUN_WORDS words lie in it. A run in very many texts is counted in every task before it is shuffled, and its
     rows are joined with one row, which Spark may split. Runs are equal if their 64-bit keys are.
 
     Null text stays null; texts with fewer than RUN_SENTENCES sentences or RUN_WORDS words have no runs. A text repeated as a

@@ -77,6 +77,21 @@ def test_dedup_equals_brute_force(documents):
     assert all(r.n_removed == 0 for r in got if r.doc_id is not None and 36 <= r.doc_id < 56)
 
 
+def test_passages_of_few_sentences_or_cut_ends(documents):
+    def sentence(n):
+        return " ".join(rng.choices(VOCABULARY, k=n)).capitalize() + "."
+
+    two = sentence(30) + " " + sentence(30)
+    ends, inner = [" ".join(rng.choices(VOCABULARY, k=15)) for _ in range(2)], sentence(11) + " " + sentence(11)
+    cut = ends[0] + ". " + inner + " " + ends[1].capitalize()
+    table = [(i, f"{prose(40)}{two} {prose(40)}") for i in range(3)]
+    table += [(i, f"{prose(40)}Begun {i} {cut} that {i} goes on. {prose(40)}") for i in range(3, 6)]
+    got = {r.doc_id: r for r in S.dedup(documents(table)).collect()}
+    assert all((two in got[i].text) == (i == 0) for i in range(3))
+    assert all((inner in got[i].text) == (i == 3) for i in range(3, 6))
+    assert [got[i].removed_words for i in range(6)] == [0, 60, 60, 0, 22, 22]
+
+
 def test_split_at_spaces():
     texts = [t for _, t in rows() if t and len(t) < 3000] + ["Eins zwei. drei  Vier\n\n fünf!? Sechs", " .a. b", "A", "\n", "x\u00a0Y z.\u2003w", "Ab Él. 。 c"]
     for text in texts:
