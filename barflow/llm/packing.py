@@ -24,6 +24,8 @@ WINDOW = 2048
 QUANTUM = 128
 END = 1
 ROUNDS_PER_BLOCK = 4096
+# Cells of a queue that one row stands for until they are dealt out to tasks.
+RANGE = 65_536
 ROWS_AT_ONCE = 256
 _MOST_KNOWN = 600_000
 
@@ -157,6 +159,15 @@ def _cut(quantum: int, keep_ids: bool):
     return run
 
 
+def _cells(q: DataFrame) -> DataFrame:
+    """queue, turn, share, cell of every full cell: ranges of cells are dealt out first, as all queues come from one task."""
+    tasks = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = F.floor((F.col("full") - 1) / RANGE).cast("long")
+    ranges = q.filter("full > 0").select("queue", "turn", "share", "full", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("range"))
+    low, high = F.col("range") * RANGE, F.least((F.col("range") + 1) * RANGE, F.col("full")) - 1
+    return ranges.repartition(tasks, "queue", "range").select("queue", "turn", "share", F.explode(F.sequence(low, high)).alias("cell"))
+
+
 def schedule(queues: DataFrame, window: int = WINDOW, quantum: int = QUANTUM) -> DataFrame:
     """queue, cell, sequence_id, at: where each run of `quantum` tokens of a queue goes.
 
@@ -169,8 +180,7 @@ def schedule(queues: DataFrame, window: int = WINDOW, quantum: int = QUANTUM) ->
     q = queues.filter("total > 0").withColumn("turn", F.row_number().over(W.orderBy(F.col("queue").asc_nulls_last())))
     q = q.withColumn("share", F.lit(float(window)) * F.col("weight") / F.sum("weight").over(every))
     q = q.withColumn("full", F.floor(F.col("total") / quantum)).withColumn("rest", F.col("total") % quantum)
-    cells = q.filter("full > 0").select("queue", "turn", "share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("cell"))
-    cells = cells.select(
+    cells = _cells(q).select(
         "queue", "turn", "cell", F.greatest(F.lit(1), F.ceil((F.col("cell") + 1) * quantum / F.col("share"))).alias("round")
     ).withColumn("block", F.floor(F.col("round") / ROUNDS_PER_BLOCK))
     sums = cells.groupBy("block").agg(F.count("*").alias("_n"))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barflow.llm import packing, queries
 
@@ -76,5 +77,13 @@ def test_every_window_has_the_mixture(spark):
             assert abs(sent[q] - (s + 1) * packing.WINDOW * n / sum(totals.values())) <= (1 + len(totals)) * packing.QUANTUM, (s, q)
 
 
+def test_cells_come_from_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE", 100)
+    q = spark.createDataFrame([("a", 1, 1.0, 2050), (None, 2, 1.0, 100), ("c", 3, 1.0, 1)], "queue string, turn int, share double, full bigint")
+    rows = packing._cells(q.coalesce(1)).select("queue", "cell", F.spark_partition_id().alias("task")).collect()
+    assert sorted((str(r.queue), r.cell) for r in rows) == sorted((str(k), c) for k, n in (("a", 2050), (None, 100), ("c", 1)) for c in range(n))
+    assert len({r.task for r in rows}) > 1 and max(Counter(r.task for r in rows).values()) < 2050
+
+
 def test_empty(documents):
     assert packing.pack(documents([]), queries.tokenizer()).count() == 0
