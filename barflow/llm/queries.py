@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm import (
-    decision_list, exact, language, licenses, mixing, order_minhash, ordinal, packing, sentences, url_rules,
+    decision_list, exact, language, licenses, lines, mixing, order_minhash, ordinal, packing, sentences, url_rules,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,11 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.cleaned(_documents(spark, sf_dir))
+    return rows.select(F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_filter": url_filter,
@@ -87,8 +92,9 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": quality_rules,
         "op9_sentence_dedup": sentence_dedup,
         "op10_license_scan": license_scan,
+        "op12_line_dedup": line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact.SQL, "op7_source_mix": mixing.SQL}
+    return {"op5_exact_dedup": exact.SQL, "op7_source_mix": mixing.SQL, "op12_line_dedup": lines.SQL}
