@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm import (
-    decision_list, exact, language, licenses, lines, mixing, order_minhash, ordinal, packing, sentences, url_rules,
+    conversations, decision_list, exact, language, licenses, lines, mixing, order_minhash, ordinal, packing, sentences, url_rules,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,10 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"), conversations.damage)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_url_filter": url_filter,
@@ -93,8 +97,9 @@ def queries() -> dict[str, Query]:
         "op9_sentence_dedup": sentence_dedup,
         "op10_license_scan": license_scan,
         "op12_line_dedup": line_dedup,
+        "op13_conversation_repair": conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact.SQL, "op7_source_mix": mixing.SQL, "op12_line_dedup": lines.SQL}
+    return {"op5_exact_dedup": exact.SQL, "op7_source_mix": mixing.SQL, "op12_line_dedup": lines.SQL, "op13_conversation_repair": conversations.SQL}
