@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.llm import (
-    conversations, decision_list, exact, language, licenses, lines, mixing, order_minhash, ordinal, packing, sentences, url_rules,
+    conversations, decision_list, exact, language, lexical, licenses, lines, mixing, order_minhash, ordinal, packing, sentences,
+    url_rules,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +76,10 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
 
 
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.cleaned(_documents(spark, sf_dir))
     return rows.select(F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -96,10 +101,17 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": quality_rules,
         "op9_sentence_dedup": sentence_dedup,
         "op10_license_scan": license_scan,
+        "op11_lexical_search": lexical_search,
         "op12_line_dedup": line_dedup,
         "op13_conversation_repair": conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact.SQL, "op7_source_mix": mixing.SQL, "op12_line_dedup": lines.SQL, "op13_conversation_repair": conversations.SQL}
+    return {
+        "op5_exact_dedup": exact.SQL,
+        "op7_source_mix": mixing.SQL,
+        "op11_lexical_search": lexical.SQL,
+        "op12_line_dedup": lines.SQL,
+        "op13_conversation_repair": conversations.SQL,
+    }
