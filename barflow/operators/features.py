@@ -166,11 +166,14 @@ def build(
 ) -> DataFrame:
     """The whole feature matrix for all assets as one plan."""
     names = [r.name for r in rules]
-    priced = I.apply(bar_series(bars), *price_steps(rules))
+    priced = I.apply(bar_series(bars), *price_steps(rules)).fixed()
+    # both come from the prices alone, not from what is derived of them below
+    cut = regime_thresholds(priced.frame()) if thresholds is None else thresholds
+    lagged = priced.frame().select("asset", "ts", *names)
     df = I.atr(I.macd(I.rsi(priced.map(lambda d: d.drop(*names))))).frame()
     if rules:
-        df = cross_asset(df, priced.frame().select("asset", "ts", *names), rules)
-    df = regimes(df, thresholds).drop("mean_lr_20")
+        df = cross_asset(df, lagged, rules)
+    df = regimes(df, cut).drop("mean_lr_20")
     if macro is not None:
         df = join_macro(df, macro)
     if sentiment is not None:

@@ -26,6 +26,8 @@ from barflow import session
 
 # Series id, position in the series, block of positions, block a row is sent to.
 SID, POS, BLK, TGT = "_sid", "_pos", "_blk", "_tgt"
+# Blocks whose totals are added up in one step.
+BLOCKS_PER_GROUP = 1024
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -91,26 +93,26 @@ class Series:
 
         A spec is (kind, column); kinds: sum, count, max, min, last. `last` is the
         nearest non-NULL value, which forward-fills, or back-fills when reversed.
+        In blocks the rows are written with what their block comes to so far, and
+        every block's total next to them: calls that follow each other read one table each.
         """
         w = self._window(reverse).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         if not self.blocked:
             cols = {n: _over(kind, c).over(w) for n, (kind, c) in specs.items()}
             return replace(self, df=self.df.withColumns(cols))
         on = self._inner
-        totals = self.df.groupBy(*on).agg(
-            *[_total(kind, c, reverse).alias(f"_t_{n}") for n, (kind, c) in specs.items()]
-        )
-        order = F.col(BLK).desc() if reverse else F.col(BLK).asc()
-        prior = Window.partitionBy(SID).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        carries = totals.select(
-            *on, *[_over(_fold(kind), F.col(f"_t_{n}")).over(prior).alias(f"_c_{n}") for n, (kind, _) in specs.items()]
-        )
-        local = self.df.withColumns({n: _over(kind, c).over(w) for n, (kind, c) in specs.items()})
+        local = session.settle(self.df.withColumns({n: _over(kind, c).over(w) for n, (kind, c) in specs.items()}), "running")
+        totals = local.groupBy(*on).agg(*[_total(kind, c, reverse).alias(f"_t_{n}") for n, (kind, c) in specs.items()])
+        carries = _carried(session.settle(totals, "totals"), {n: kind for n, (kind, _) in specs.items()}, reverse)
         out = local.join(carries, on, "left").withColumns(
             {n: _combine(kind, F.col(n), F.col(f"_c_{n}")) for n, (kind, _) in specs.items()}
         ).drop(*[f"_c_{n}" for n in specs])
         return replace(self, df=out)
 
+    def fixed(self) -> "Series":
+        """Rows of a series in blocks written as they are, to be read more than once."""
+        return replace(self, df=session.settle(self.df, "series")) if self.blocked else self
+
     def position(self, name: str) -> "Series":
         """0-based row position within the key."""
         if self.blocked:
@@ -171,6 +173,24 @@ def _blocked(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> Se
     return Series(placed, keys, order, blocked=True, block_rows=rows)
 
 
+def _carried(totals: DataFrame, kinds: dict[str, str], reverse: bool) -> DataFrame:
+    """SID, BLK, _c_ columns: what the blocks before each block come to.
+
+    Blocks are taken in groups, so one task sees a group's blocks or a series' groups, never all its blocks.
+    """
+    totals = totals.withColumn("_g", F.floor(F.col(BLK) / BLOCKS_PER_GROUP))
+
+    def before(part: Sequence[str], by: str) -> WindowSpec:
+        order = F.col(by).desc() if reverse else F.col(by).asc()
+        return Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    within = totals.select(SID, BLK, "_g", *[_over(_fold(k), F.col(f"_t_{n}")).over(before([SID, "_g"], BLK)).alias(f"_c_{n}") for n, k in kinds.items()])
+    groups = totals.groupBy(SID, "_g").agg(*[_total(_fold(k), F.col(f"_t_{n}"), reverse, BLK).alias(f"_t_{n}") for n, k in kinds.items()])
+    ahead = groups.select(SID, "_g", *[_over(_fold(k), F.col(f"_t_{n}")).over(before([SID], "_g")).alias(f"_p_{n}") for n, k in kinds.items()])
+    both = within.join(ahead, [SID, "_g"]).select(SID, BLK, *[_combine(_fold(k), F.col(f"_c_{n}"), F.col(f"_p_{n}")).alias(f"_c_{n}") for n, k in kinds.items()])
+    return session.settle(both, "carries")
+
+
 def _over(kind: str, c: Column) -> Column:
     if kind == "last":
         return F.last(c, ignorenulls=True)
@@ -181,11 +201,11 @@ def _fold(kind: str) -> str:
     return "sum" if kind == "count" else kind
 
 
-def _total(kind: str, c: Column, reverse: bool) -> Column:
+def _total(kind: str, c: Column, reverse: bool, by: str = POS) -> Column:
     if kind != "last":
         return _over(kind, c)
     pick = F.min_by if reverse else F.max_by
-    return pick(c, F.when(c.isNotNull(), F.col(POS)))
+    return pick(c, F.when(c.isNotNull(), F.col(by)))
 
 
 def _combine(kind: str, local: Column, carry: Column) -> Column:

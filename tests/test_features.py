@@ -129,3 +129,8 @@ def test_macro_leak_option(spark, mode):
     assert (first["dxy"], first["vix"], first["spy"]) == (2.0, 3.0, 4.0)
     late = of(X.join_macro(df, macro, availability_lag="1 day"), "BTC", "dxy")["dxy"]
     assert late[:24].eq(1).all() and late[24:].eq(2).all()
+
+
+def test_the_matrix_reads_its_input_a_few_times(spark, mode):
+    out = X.build(bars(spark, 30))
+    assert out._jdf.queryExecution().analyzed().collectLeaves().size() <= 6
