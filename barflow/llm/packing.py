@@ -26,8 +26,10 @@ END = 1
 ROUNDS_PER_BLOCK = 4096
 # Cells of a queue that one row stands for until they are dealt out to tasks.
 RANGE = 65_536
-ROWS_AT_ONCE = 256
-_MOST_KNOWN = 600_000
+# Rows, and bytes of their texts or ids, that a task works on at a time, or one row.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 4 << 20
+# Bytes that remembered words, chunks and their ids may take with what Python adds to each, and the longest of them.
+_MOST_BYTES, _LONGEST, _OVERHEAD = 64 << 20, 64, 200
 
 
 def _byte_letters() -> dict[int, str]:
@@ -70,6 +72,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.bytes = _byte_letters()
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -78,28 +81,39 @@ class Encoder:
         letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
         return np.asarray([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Look up what stands between spaces: cut into words, each new word goes through the tokenizer's model."""
+    def _keep(self, part: str, ids: bytes) -> None:
+        if len(part) <= _LONGEST:
+            self.held += len(part) + len(ids) + _OVERHEAD
+            if self.held > _MOST_BYTES:
+                self.known.clear()
+                self.held = 0
+            self.known[part] = ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of what stands between spaces: cut into words, each new word goes through the tokenizer's model."""
+        out = []
+        for found in self.words.finditer(chunk):
+            word = found[0]
+            ids = self.known.get(word)
+            if ids is None:
+                self._keep(word, ids := self._word(word))
+            out.append(ids)
+        ids = out[0] if len(out) == 1 else b"".join(out)
+        if len(out) != 1:
+            self._keep(chunk, ids)
+        return ids
+
+    def _plain(self, text: str) -> bytes:
         known = self.known
-        for chunk in chunks:
-            words = self.words.findall(chunk)
-            for word in words:
-                if word not in known:
-                    known[word] = self._word(word)
-            if len(words) != 1:
-                known[chunk] = b"".join(map(known.__getitem__, words))
+        out = []
+        for chunk in text.lower().split():
+            ids = known.get(chunk)
+            out.append(self._chunk(chunk) if ids is None else ids)
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [
-            t.lower().split() if self.by_word and self.PLAIN.fullmatch(t) and not any(m in t for m in self.marks) else None
-            for t in texts
-        ]
-        known = self.known
-        if len(known) > _MOST_KNOWN:
-            known.clear()
-        if missing := set().union(*filter(None, plain)).difference(known):
-            self._learn(missing)
-        return [b"".join(map(known.__getitem__, c)) if c is not None else self._ids(t) for c, t in zip(plain, texts, strict=True)]
+        plain = (self.by_word and self.PLAIN.fullmatch(t) and not any(m in t for m in self.marks) for t in texts)
+        return [self._plain(t) if p else self._ids(t) for t, p in zip(texts, plain, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -111,18 +125,24 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slices(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
     """A few rows at a time, so that a task holds the tokens of those only."""
     for batch in batches:
-        for k in range(0, len(batch), ROWS_AT_ONCE):
-            yield batch.iloc[k : k + ROWS_AT_ONCE]
+        start = size = 0
+        for k, value in enumerate(batch[column]):
+            if k - start == ROWS_AT_ONCE or (k > start and size + len(value or "") > BYTES_AT_ONCE):
+                yield batch.iloc[start:k]
+                start, size = k, 0
+            size += len(value or "")
+        if start < len(batch):
+            yield batch.iloc[start:]
 
 
 def _tokens(path: str, end: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, task = _encoder(path), TaskContext.get().partitionId()
         close, sent = np.asarray([end], "<u4").tobytes(), defaultdict(int)
-        for batch in _slices(batches):
+        for batch in _slices(batches, "text"):
             ids = [x + close for x in encoder.encode([text or "" for text in batch["text"]])]
             counts, starts = [len(x) // 4 for x in ids], []
             for source, n in zip(batch["queue"], counts, strict=True):
@@ -135,7 +155,7 @@ def _tokens(path: str, end: int):
 
 def _cut(quantum: int, keep_ids: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _slices(batches):
+        for batch in _slices(batches, "ids"):
             first = batch["first"].to_numpy(np.int64)
             n = batch["n"].to_numpy(np.int64)
             cells = (first + n - 1) // quantum - first // quantum + 1

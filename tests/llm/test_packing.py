@@ -87,3 +87,16 @@ def test_cells_come_from_many_tasks(spark, monkeypatch):
 
 def test_empty(documents):
     assert packing.pack(documents([]), queries.tokenizer()).count() == 0
+
+
+def test_the_cache_is_bounded_by_bytes(monkeypatch):
+    """Texts of 10 MB, one of them without a space, and more words than fit: nothing long is remembered."""
+    monkeypatch.setattr(packing, "_MOST_BYTES", 100_000)
+    encoder = packing.Encoder(queries.tokenizer())
+    plain = encoder.tokenizer
+    texts = ["ab,cd." * 1_700_000, " ".join(f"w{k}x" for k in range(1_500_000)), "x" * 70 + " y"]
+    made = encoder.encode(texts)
+    assert encoder.held <= 100_000 and sum(len(k) + len(v) for k, v in encoder.known.items()) <= encoder.held
+    assert max(map(len, encoder.known)) <= 64
+    assert made[2] == np.asarray(plain.encode(texts[2], add_special_tokens=False).ids, "<u4").tobytes()
+    assert made[0][-400:] == np.asarray(plain.encode("ab,cd." * 200, add_special_tokens=False).ids, "<u4").tobytes()[-400:]
