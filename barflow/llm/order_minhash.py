@@ -23,21 +23,26 @@ BANDS, MINIMA = 20, 5
 # Texts of at most so many k-mers meet any other at the least similarity for certain.
 FEW = 30
 # Leaders of a bucket in the first of the later rounds, and how many times more in each that follows.
-LEADERS, MORE = 2, 16
+LEADERS, MORE = 2, 8
 # Members of a bucket that one row of a leader meets.
 SHARE = 4096
 _WORD = re.compile(r"\w+")
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_MOST_KNOWN = 500_000
+# Words whose codes a task remembers, and the longest of them: about 40 MB.
+_MOST_KNOWN, _LONGEST = 200_000, 64
+# Bits of a text's parities.
+_BITS = 1024
 
 
 class _Codes(dict):
-    """64-bit codes of words, the same in every process."""
+    """64-bit codes of words, the same in every process. A task forgets them at its end, as workers live on."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= _MOST_KNOWN:
-            self.clear()
-        code = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        code = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        if len(word) <= _LONGEST:
+            if len(self) >= _MOST_KNOWN:
+                self.clear()
+            self[word] = code
         return code
 
 
@@ -133,8 +138,9 @@ def all_keys(kmers: np.ndarray) -> np.ndarray:
 
 
 def parities(kmers: np.ndarray) -> np.ndarray:
-    """Whether an odd number of the k-mers fall on each of 256 bits: two texts differ by one bit at most for each k-mer of one alone."""
-    odd = np.bincount((_mixed(kmers * _STEP) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    """Whether an odd number of the k-mers fall on each of _BITS bits: two texts differ by one bit at most for each k-mer of one alone."""
+    at = _mixed(kmers * _STEP) >> np.uint64(65 - _BITS.bit_length())
+    odd = np.bincount(at.astype(np.int64), minlength=_BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -161,6 +167,19 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return len(ends) / (total - len(ends))
 
 
+def _forgetful(run):
+    """A function of batches that leaves no codes of words behind."""
+
+    def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from run(batches)
+        finally:
+            _codes.clear()
+
+    return wrapped
+
+
+@_forgetful
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         nodes, sizes, keys, odd = [], [], [], []
@@ -174,6 +193,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": batch["id"], "file": batch["file"], "row": batch["row"], "node": nodes, "n": sizes, "keys": keys, "odd": odd})
 
 
+@_forgetful
 def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     last, kmers = None, None
     for batch in batches:
@@ -210,7 +230,7 @@ def _open_pairs(tied: DataFrame, low: int, high: int) -> DataFrame:
         .select("key", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), lead)
     )
     n, m = F.col("n"), F.col("lead.n")
-    differ = sum((F.bit_count(F.col("odd")[k].bitwiseXOR(F.col("lead.odd")[k])) for k in range(4)), F.lit(0))
+    differ = sum((F.bit_count(F.col("odd")[k].bitwiseXOR(F.col("lead.odd")[k])) for k in range(_BITS // 64)), F.lit(0))
     most = (n + m) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
     return (
         tied.withColumn("share", F.pmod(F.xxhash64("node"), shares).cast("int")).join(leaders.hint("merge"), ["key", "share"])
@@ -289,7 +309,7 @@ def _decided(rows: DataFrame) -> DataFrame:
         more = session.settle(_verified(again, bodies), "links")
         if not more.isEmpty():
             found = graph.components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-        tried = tried.unionByName(again)
+        tried = session.settle(tried.unionByName(again), "tried")
         low, high = high, high * MORE
 
     member = session.settle(
