@@ -84,7 +84,7 @@ def classes(docs: DataFrame, digest=sha256) -> DataFrame:
     last place in the files decides, and a null id is less than any other. Only rows whose digest the state has seen more
     than once are fetched again and compared in full with the text that stays; rows that differ in spite of an equal digest
     form groups of their own. A text with very many copies is compared in groups of COPIES_PER_GROUP, each with a copy of
-    the one text that stays. Both sides of these joins grow with the input, so they are merge joins at every size. An empty
+    the one text that stays, and rows get their answers by place, so no digest gathers its rows. Texts of any length are hashed and compared as a whole. Both sides of these joins grow with the input, so they are merge joins at every size. An empty
     table gives no rows. No Python runs.
     """
     spark = docs.sparkSession
@@ -120,21 +120,23 @@ def classes(docs: DataFrame, digest=sha256) -> DataFrame:
         hits.join(first.hint("merge"), ["digest", "group"]).filter("body != first").select("digest", "seen", "body"), "unequal"
     )
     own = odd.groupBy("digest", "body").agg(F.max("seen").alias("own"), F.count("*").alias("own_n"))
-    owners = odd.join(own, ["digest", "body"]).select("digest", "seen", "own", "own_n")
-    lost = odd.groupBy("digest").agg(F.count("*").alias("lost"))
-    keep = F.coalesce("own", "head", "seen")
-    return (
-        rows.withColumn("seen", seen)
-        .join(heads.hint("merge"), "digest", "left")
-        .join(lost, "digest", "left")
-        .join(owners, ["digest", "seen"], "left")
-        .select(
-            "doc",
-            "digest",
-            keep["id"].alias("keep_id"),
-            F.coalesce("own_n", F.col("n") - F.coalesce("lost", F.lit(0)), F.lit(1)).cast("long").alias("group_size"),
-            keep.eqNullSafe(F.col("seen")).alias("kept"),
-        )
+    owners = session.settle(odd.join(own, ["digest", "body"]).select("digest", "seen", "own", "own_n"), "owners")
+    lost = session.settle(odd.groupBy("digest").agg(F.count("*").alias("lost")), "lost")
+    # of the copies only ids and places go on; both sides of each join are plain exchanges, so Spark may split a digest
+    keep = F.coalesce("own", "head")
+    found = hits.select("digest", "seen", "head", "n").join(lost, "digest", "left").join(owners, ["digest", "seen"], "left").select(
+        F.col("seen.at.file").alias("file"), F.col("seen.at.row").alias("row"), keep["id"].alias("found_id"),
+        F.coalesce("own_n", F.col("n") - F.coalesce("lost", F.lit(0))).alias("found_n"), keep.eqNullSafe(F.col("seen")).alias("found_kept"),
+    )
+    found = session.settle(found, "copies")
+    placed = rows.withColumns({"file": F.col("at.file"), "row": F.col("at.row")})
+    alone = F.col("found_n").isNull()
+    return placed.join(found.hint("merge"), ["file", "row"], "left").select(
+        "doc",
+        "digest",
+        F.when(alone, F.col("doc.doc_id")).otherwise(F.col("found_id")).alias("keep_id"),
+        F.coalesce("found_n", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce("found_kept", F.lit(True)).alias("kept"),
     )
 
 
