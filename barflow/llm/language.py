@@ -19,6 +19,8 @@ MOST_LANGUAGES = 512
 UNDETERMINED = "und"
 _CHARS_AT_ONCE = 2_000_000
 _OTHER_SCRIPT = -60.0
+# Scores of trigrams looked up at once.
+_CELLS = 4_000_000
 
 # Blocks of code points by script, first and last.
 SCRIPTS = (
@@ -49,37 +51,44 @@ SCRIPTS = (
     ("han", ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))),
 )
 
-_tables: tuple[np.ndarray, np.ndarray] | None = None
+_tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
 
-def _letters_and_scripts() -> tuple[np.ndarray, np.ndarray]:
-    """Whether each code point is a letter or a mark on one, and the bit of its script (bit 0: any other)."""
+def _letters_and_scripts() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each code point can stand in a word (a letter or a mark on one), whether it is a letter, and the bit of its script
+    (bit 0: any other)."""
     global _tables
     if _tables is None:
-        letters = np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+        kinds = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+        joined, letters = (np.fromiter((k in wanted for k in kinds), bool, 0x110000) for wanted in ("LM", "L"))
         scripts = np.ones(0x110000, np.uint32)
         for bit, (_, blocks) in enumerate(SCRIPTS, 1):
             for first, last in blocks:
                 scripts[first : last + 1] = 1 << bit
-        _tables = letters, scripts
+        _tables = joined, letters, scripts
     return _tables
 
 
 class _Words:
-    """Words (runs of letters) of some texts: bucket of each letter's trigram, and each word's text, size and scripts."""
+    """Words (runs of letters and marks with a letter at least) of some texts: bucket of each letter's trigram, and each word's
+    text, size and scripts."""
 
     def __init__(self, texts: list[str]):
-        letters, scripts = _letters_and_scripts()
+        joined, letters, scripts = _letters_and_scripts()
         low = [t.lower() for t in texts]
         codes = np.frombuffer(("\n" + "\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum([len(t) + 1 for t in low])
-        is_letter = letters[codes]
-        x = np.where(is_letter, codes, 0).astype(np.uint64)
-        at = np.flatnonzero(is_letter)
+        inside = joined[codes]
+        x = np.where(inside, codes, 0).astype(np.uint64)
+        at = np.flatnonzero(inside)
+        if len(at):  # marks alone are no word
+            starts = np.flatnonzero(~inside[at - 1])
+            real = np.logical_or.reduceat(letters[codes[at]], starts)
+            at = at[np.repeat(real, np.diff(np.append(starts, len(at))))]
         mixed = (x[at - 1] * np.uint64(0x9E3779B97F4A7C15) + x[at]) * np.uint64(0xBF58476D1CE4E5B9) + x[at + 1]
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
         self.buckets = (mixed >> np.uint64(49)).astype(np.int64)
-        self.starts = np.flatnonzero(~is_letter[at - 1]) if len(at) else at
+        self.starts = np.flatnonzero(~inside[at - 1]) if len(at) else at
         self.letters = np.diff(np.append(self.starts, len(at)))
         self.bits = scripts[codes[at]]
         self.text = np.searchsorted(ends, at[self.starts], side="right")
@@ -138,13 +147,25 @@ class Model:
             done += len(part)
         return out
 
+    def _scored(self, words: _Words) -> np.ndarray:
+        """Log-probability of each word in each language; the trigrams' are looked up for some words at a time."""
+        out = np.empty((len(words.starts), len(self.languages)))
+        ends = np.append(words.starts, len(words.buckets))
+        most, first = max(1, _CELLS // len(self.languages)), 0
+        while first < len(words.starts):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, "right")) - 1)
+            some = words.buckets[ends[first] : ends[last]]
+            out[first:last] = np.add.reduceat(self.scores[some], words.starts[first:last] - ends[first], axis=0)
+            first = last
+        return out
+
     def _label(self, texts: list[str]) -> list:
         words = _Words(texts)
         n, languages = len(words.starts), len(self.languages)
         out: list = [None] * len(texts)
         if not n:
             return out
-        scores = np.add.reduceat(self.scores[words.buckets], words.starts, axis=0).astype(np.float64)
+        scores = self._scored(words)
         allowed = (words.scripts[:, None] & self.scripts[None, :]) != 0
         allowed |= ~allowed.any(1, keepdims=True)
         scores = np.where(allowed, scores, scores + _OTHER_SCRIPT * words.letters[:, None])
@@ -225,11 +246,11 @@ def learn(docs: DataFrame) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, spans; one row per row of `docs`, from the whole text and nothing else.
 
-    A text is cut into words, runs of letters. The scripts of a word narrow its languages to those learned from texts with
+    A text is cut into words, runs of letters and marks with a letter at least. The scripts of a word narrow its languages to those learned from texts with
     that script (all, if none); a word's score in a language is the log-probability of its letter trigrams. Viterbi over the
     words with a penalty per change labels spans; lang_pred is the language with most letters (the first by name in a tie)
     and score its share of the letters. Null text and text without letters are `und` with score 0 and no spans. Equal texts
-    have equal results. Very long texts are one row of work each. An empty table gives no rows.
+    have equal results. A very long text is one row of work: its words' scores in each language are held, its trigrams' a part at a time. An empty table gives no rows.
     """
     session.ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -76,3 +76,47 @@ def test_viterbi_equals_every_path(seed):
         if n:
             best = max(value(own, p) for p in product(range(states), repeat=n))
             assert value(own, path[text == t]) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("text", ["\u0301\u0301 123", "\u0e31", " \u0300.", "1\u20dd"])
+def test_marks_are_no_letters(spark, corpus, text):
+    model = G.learn(corpus[1])
+    found, score, spans = model.spans([text])[0]
+    assert (found, score, spans) == ("und", 0.0, [])
+    assert model.spans(["e\u0301t\u00e9 tre" + text])[0][0] == "cc"
+
+
+def plain_counts(text):
+    """Trigrams of letters and marks within words, by one look at each; what surrounds a word counts as nothing."""
+    import unicodedata
+
+    def kind(c):
+        return unicodedata.category(c)[0]
+
+    words, word = [], ""
+    for c in text.lower() + " ":
+        if kind(c) in "LM":
+            word += c
+        else:
+            words += [word] if any(kind(x) == "L" for x in word) else []
+            word = ""
+    return words
+
+
+def test_scores_and_shares_against_plain_sums(corpus, monkeypatch):
+    monkeypatch.setattr(G, "_CELLS", 40)
+    model = G.learn(corpus[1])
+    r = random.Random(4)
+    texts = [" ".join(prose(x, r.randint(1, 9), r) for x in r.choices(list(SYLLABLES), k=3)) + r.choice(["", " 12", " \u0301 ."]) for _ in range(40)]
+    for text, (lang, score, spans) in zip(texts, model.spans(texts)):
+        words = plain_counts(text)
+        own = G._Words([text])
+        assert own.letters.tolist() == [len(w) for w in words]
+        sums, at = model._scored(own), 0
+        for k, w in enumerate(words):
+            want = model.scores[own.buckets[at : at + len(w)]].astype(float).sum(0)
+            assert np.allclose(sums[k], want, rtol=1e-5)
+            at += len(w)
+        letters = {x: sum(len(words[i]) for a, b, y in spans if x == y for i in range(a, b + 1)) for x in model.languages}
+        best = max(letters.values())
+        assert lang == min(x for x, n in letters.items() if n == best) and score == pytest.approx(best / sum(letters.values()))
