@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,11 +34,18 @@ TEMPLATES = (
     ("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("lgpl", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("cc-by-sa", "licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
+    ("agpl-3", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+     "provided that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
 )
 GRAM = 3
-# Diagonals of one span differ by no more than this many inserted or missing words.
-DRIFT = 6
+# Words of all templates, which go to every task.
+MOST_TEMPLATE_WORDS = 100_000
+# Diagonals of one span differ by no more than this many inserted or missing words, and no more than a share of the template.
+DRIFT, DRIFT_SHARE = 6, 0.25
 COVERED = 0.8
 
 
@@ -49,8 +59,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, covered: float = COVERED) -> Data
     `spans` has label, template, first and last word, and score, the share of the template's words found there in order.
     Every text's k-grams are looked up among those of the templates. Where there is one, the text's words go on: each k-gram
     joins the template positions it equals, votes are grouped by diagonal (place in the text minus place in the template),
-    neighbouring diagonals within DRIFT words and a template's length merge to a span, and a span counts if its matching
-    words, compared as words, make up `covered` of the template. The templates are a fixed list, so only they are broadcast.
+    neighbouring diagonals merge to an island, and an island's votes are aligned in order (see in_order): a span counts if the
+    template's words in it make up `covered` of the template. Repeated copies are spans of their own; words in another order
+    are none. The templates are a bounded list of short texts, checked before it is broadcast.
 
     Null text is empty and has no word; texts without a license have no spans; rows equal in doc_id and text have equal
     results. Long texts stay one array of words each. An empty table gives no rows.
@@ -62,6 +73,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, covered: float = COVERED) -> Data
     df = df.withColumn("keys", window_keys("codes", GRAM))
 
     lists = [(k, label, _split(text)) for k, (label, text) in enumerate(templates)]
+    if sum(len(ws) for _, _, ws in lists) > MOST_TEMPLATE_WORDS:
+        raise ValueError(f"templates have more than {MOST_TEMPLATE_WORDS} words")
     grams = [(k, label, at, len(ws), ws[at : at + GRAM]) for k, label, ws in lists for at in range(len(ws) - GRAM + 1)]
     index = spark.createDataFrame(grams, "template int, label string, at int, size int, gram array<string>")
     index = index.withColumn("codes", F.transform("gram", lambda w: F.xxhash64(w))).withColumn("key", window_keys("codes", GRAM)[0])
@@ -94,16 +107,16 @@ def scan(docs: DataFrame, templates=TEMPLATES, covered: float = COVERED) -> Data
     )
     one = ["doc_id", "h", "template"]
     by = W.partitionBy(*one)
-    votes = hits.groupBy(*one, "label", "size", "diagonal").agg(
-        F.min("pos").alias("low"), F.max("pos").alias("high"), F.collect_list(F.struct("pos", "at")).alias("votes")
-    )
-    near = by.orderBy("diagonal", "low")
-    fresh = (F.col("diagonal") - F.lag("diagonal").over(near) > DRIFT).cast("int")
+    votes = hits.groupBy(*one, "label", "size", "diagonal").agg(F.collect_list(F.struct("pos", "at")).alias("votes"))
+    near = by.orderBy("diagonal")
+    drift = F.least(F.lit(DRIFT), F.floor(F.col("size") * DRIFT_SHARE))
+    fresh = (F.col("diagonal") - F.lag("diagonal").over(near) > drift).cast("int")
     runs = votes.withColumn("island", F.sum(F.coalesce(fresh, F.lit(1))).over(near.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    spans = runs.groupBy(*one, "label", "size", "island").agg(F.flatten(F.collect_list("votes")).alias("votes"), F.min("low").alias("first"), (F.max("high") + GRAM - 1).alias("last"))
-    # words of the template that matched: every position inside a matching k-gram, once
-    matched = F.size(F.array_distinct(F.flatten(F.transform("votes", lambda v: F.sequence(v["at"], v["at"] + GRAM - 1)))))
-    spans = spans.withColumn("score", matched / F.col("size")).filter(F.col("score") >= covered)
+    islands = runs.groupBy(*one, "label", "size", "island").agg(F.array_sort(F.flatten(F.collect_list("votes"))).alias("votes"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    session.ship(spark)
+    shape = f"doc_id {kind}, h bigint, first int, last int, label string, template int, score double"
+    spans = islands.mapInPandas(_verified(covered), shape)
     spans = spans.groupBy("doc_id", "h").agg(
         F.sort_array(F.collect_list(F.struct("first", "last", "label", "template", "score"))).alias("spans")
     )
@@ -112,6 +125,58 @@ def scan(docs: DataFrame, templates=TEMPLATES, covered: float = COVERED) -> Data
     return out.drop("_id", "_h", "h")
 
 
+def in_order(votes: list[tuple[int, int]], size: int, covered: float = COVERED) -> list[tuple[int, int, float]]:
+    """First and last word and score of every span among (place in the text, place in the template) of equal k-grams.
+
+    A span starts at a vote, and has the votes near that diagonal within a template's length; those that rise in both, as
+    many as possible, are an alignment in order, and the words of the template in it are counted once. The next span starts behind it.
+    """
+    drift = min(DRIFT, int(size * DRIFT_SHARE))
+    votes = sorted(set(votes))
+    found, k = [], 0
+    while k < len(votes):
+        pos, at = votes[k]
+        chains: list[tuple[int, int]] = []  # for each length, the vote a chain of it ends with at the earliest place of the template
+        ends: list[int] = []
+        before: dict[tuple[int, int], tuple[int, int] | None] = {}
+        i = k
+        while i < len(votes) and votes[i][0] <= pos - at + size - GRAM + drift:
+            same = i
+            while same < len(votes) and votes[same][0] == votes[i][0]:
+                same += 1
+            for vote in reversed(votes[i:same]):  # a word of the text takes one place only
+                if abs((vote[0] - vote[1]) - (pos - at)) <= drift and vote >= votes[k]:
+                    n = bisect_left(ends, vote[1])
+                    before[vote] = chains[n - 1] if n else None
+                    ends[n : n + 1], chains[n : n + 1] = [vote[1]], [vote]
+            i = same
+        path, vote = [], chains[-1] if chains else None
+        while vote is not None:
+            path.append(vote)
+            vote = before[vote]
+        score = len({a + j for _, a in path for j in range(GRAM)}) / size
+        if score >= covered:
+            last = path[0][0] + GRAM - 1
+            found.append((path[-1][0], last, score))
+            while k < len(votes) and votes[k][0] <= last:
+                k += 1
+        else:
+            k += 1
+    return found
+
+
+def _verified(covered: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc_id, h, label, template, size, votes in zip(*(batch[c] for c in ("doc_id", "h", "label", "template", "size", "votes")), strict=True):
+                rows += [(doc_id, h, a, b, label, template, score) for a, b, score in in_order([(v["pos"], v["at"]) for v in votes], size, covered)]
+            out = pd.DataFrame(rows, columns=["doc_id", "h", "first", "last", "label", "template", "score"])
+            yield out.assign(doc_id=out["doc_id"].astype(batch["doc_id"].dtype))
+
+    return run
+
+
 def _places(phrase: str, label: str):
     """Places where the phrase's words stand consecutively, for a text that has one of the phrases."""
     ws = phrase.split()

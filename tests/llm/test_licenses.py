@@ -66,3 +66,32 @@ def test_base_and_spans(documents):
 
 def test_empty(documents):
     assert L.labels(L.scan(documents([]))).count() == 0
+
+
+def test_words_in_another_order_and_repeated_copies(documents):
+    words = MIT.split()
+    triples = [words[k : k + 3] for k in range(0, len(words), 3)]
+    notice = L.TEMPLATES[0][1]
+    docs = documents([(1, " ".join(w for t in reversed(triples) for w in t)), (2, (notice + " ") * 50), (3, f"{MIT} {filler(4)} {MIT}")])
+    by = {r.doc_id: r for r in L.labels(L.scan(docs)).collect()}
+    assert by[1].labels == [] and by[1].spans is None
+    assert [(s.first, s.last) for s in by[2].spans if s.template == 0] == [(5 * k, 5 * k + 4) for k in range(50)]
+    size = len(L._split(MIT))
+    assert [(s.first, s.last, s.score) for s in by[3].spans] == [(0, size - 1, 1.0), (size + 4, 2 * size + 3, 1.0)]
+
+
+def test_alignment_in_order_against_longest_common_runs():
+    rnd = random.Random(6)
+    for _ in range(200):
+        template = [f"t{k}" for k in range(rnd.randrange(8, 30))]
+        text = list(template)
+        for _ in range(rnd.randrange(0, 4)):
+            k = rnd.randrange(len(text))
+            text[k : k + rnd.randrange(0, 2)] = ["x"] * rnd.randrange(0, 2)
+        at = {tuple(template[k : k + L.GRAM]): k for k in range(len(template) - L.GRAM + 1)}
+        votes = [(k, at[g]) for k in range(len(text) - L.GRAM + 1) if (g := tuple(text[k : k + L.GRAM])) in at]
+        covered = {a + j for _, a in votes for j in range(L.GRAM)}
+        found = L.in_order(votes, len(template), 0.8)
+        assert bool(found) == (len(covered) / len(template) >= 0.8)
+        if found:
+            assert len(found) == 1 and found[0][2] == len(covered) / len(template)
