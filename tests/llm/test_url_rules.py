@@ -74,3 +74,13 @@ def test_mined_rules_equal_all_combinations(spark):
         ts = frozenset(next(x for x in own.filter(F.col("page_id") == r.page_id).select("tokens").collect())[0]) if r.page_id > 595 else None
         if ts is not None:
             assert (r.verdict == "block") == any(c <= ts for c in rules)
+
+
+def test_a_planted_signal_among_many_pages(spark):
+    """20,000 pages of which two sites in a certain folder are bad, as in no table here: mined rules decide, and hold on pages without a label."""
+    sites = [f"site{k}" for k in range(40)]
+    urls = [f"http://{sites[i // 2 % 40]}.example.org/{('en', 'fr', 'bets')[i % 3]}/{i}" for i in range(20_000)]
+    bad = [("bets" in u and ("site3." in u or "site8." in u)) or i % 50 == 0 for i, u in enumerate(urls)]
+    labels = spark.createDataFrame([(i, int(not b), 0) for i, b in enumerate(bad) if i % 2], "doc_id bigint, quality int, toxic int")
+    got = U.judge(pages(spark, urls), labels).filter("page_id % 2 = 0 and page_id % 50 != 0").select("page_id", "verdict", "mined").collect()
+    assert all((r.verdict == "block") == bad[r.page_id] == (r.mined is not None) for r in got) and sum(r.verdict == "block" for r in got) > 100
