@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,29 +18,76 @@ from barflow.operators.indicators import carry_forward
 from barflow.operators.series import arrange
 from barflow.operators.windows import every_nth, on_spine
 
-MAX_PHRASES = 1_000
+# Phrases up to which a dictionary is a literal in the plan, and phrases of one pass beyond that.
+LITERAL_PHRASES, PHRASES_PER_PASS = 1_000, 200_000
 
 
 def tag_by_phrase(df: DataFrame, phrases: dict[str, Sequence[str]], text: str = "title", url: str = "url") -> DataFrame:
-    """One row per (URL, asset) with the first phrase of the asset's list in the text.
+    """One row per (URL, asset) with the first phrase of the asset's list in the text, whatever its case.
 
-    The dictionary is a literal in the plan, so no join is needed; an article may be
-    tagged with several assets. Copies of a URL combine before the shuffle.
+    An article may be tagged with several assets. Copies of a URL combine before the shuffle. A short dictionary is a
+    literal in the plan. A longer one becomes an Aho-Corasick automaton in each task, which finds all phrases in one
+    look at each character; the largest are cut into passes. All give the same rows.
     """
-    if sum(len(p) for p in phrases.values()) > MAX_PHRASES:
-        raise ValueError("dictionary too large for a plan literal")
+    if sum(len(p) for p in phrases.values()) <= LITERAL_PHRASES:
+        return _tagged(_literal_hits(df, phrases, text, url))
+    session.ship(df.sparkSession)
+    entries = [(a, i, p) for a, ps in phrases.items() for i, p in enumerate(ps)]
+    passes = [_automaton_hits(df, entries[k : k + PHRASES_PER_PASS], text, url) for k in range(0, len(entries), PHRASES_PER_PASS)]
+    return _tagged(reduce(DataFrame.unionByName, passes))
+
+
+def _tagged(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("url", "asset").agg(F.min_by("query", "place").alias("query"))
+
+
+def _literal_hits(df: DataFrame, phrases: dict[str, Sequence[str]], text: str, url: str) -> DataFrame:
+    """url, asset, query, place (in the asset's list)."""
     hits = F.array(
         *[
             F.struct(F.lit(a).alias("asset"), X.first_phrase(F.col(text), p).alias("query"))
             for a, p in phrases.items()
         ]
     )
-    rank = F.create_map(
-        *[x for a, ps in phrases.items() for i, p in enumerate(ps) for x in (F.lit(f"{a}\x01{p}"), F.lit(i))]
-    )
+    places: dict[str, int] = {}
+    for a, ps in phrases.items():
+        for i, p in enumerate(ps):
+            places.setdefault(f"{a}\x01{p}", i)
+    rank = F.create_map(*[x for name, i in places.items() for x in (F.lit(name), F.lit(i))])
     rows = df.select(F.col(url).alias("url"), F.explode(hits).alias("h")).filter(F.col("h.query").isNotNull())
     order = F.try_element_at(rank, F.concat_ws("\x01", "h.asset", "h.query"))
-    return rows.groupBy("url", F.col("h.asset").alias("asset")).agg(F.min_by("h.query", order).alias("query"))
+    return rows.select("url", F.col("h.asset").alias("asset"), F.col("h.query").alias("query"), order.alias("place"))
+
+
+def _automaton_hits(df: DataFrame, entries: Sequence[tuple[str, int, str]], text: str, url: str) -> DataFrame:
+    shape = T.StructType(
+        [T.StructField("url", df.schema[url].dataType), T.StructField("asset", T.StringType()), T.StructField("query", T.StringType()), T.StructField("place", T.IntegerType())]
+    )
+    shared = df.sparkSession.sparkContext.broadcast(list(entries))  # at most PHRASES_PER_PASS phrases
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        machine, everywhere = ahocorasick.Automaton(), []
+        for asset, place, phrase in shared.value:
+            key = phrase.lower()
+            if key:
+                machine.add_word(key, [*machine.get(key, ()), (asset, place, phrase)])
+            else:
+                everywhere.append((asset, place, phrase))
+        if len(machine):
+            machine.make_automaton()
+        for batch in batches:
+            rows = []
+            for link, body in zip(batch["url"], batch["text"], strict=True):
+                best: dict[str, tuple[int, str]] = {}
+                found = {id(own): own for _, own in machine.iter(body or "")} if len(machine) else {}
+                for asset, place, phrase in [*everywhere, *(x for own in found.values() for x in own)]:
+                    best[asset] = min(best.get(asset, (place, phrase)), (place, phrase))
+                rows += [(link, asset, phrase, place) for asset, (place, phrase) in best.items()]
+            yield pd.DataFrame(rows, columns=["url", "asset", "query", "place"])
+
+    return df.select(F.col(url).alias("url"), F.lower(F.col(text)).alias("text")).mapInPandas(find, shape)
 
 
 def score(df: DataFrame, text: str = "text_for_sentiment", **lists: Sequence[str]) -> DataFrame:
