@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barflow.functions.columns import finite
+from barflow.sources import commits
 from barflow.sources.schemas import conform
 
 
@@ -25,9 +26,11 @@ def between(col: str, start: str | None = None, end: str | None = None) -> Colum
 
 
 def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A stored table in its schema; one that was never written is empty."""
+    """A stored table in its schema; one that was never written is empty. Footers are read only where no schema is kept with it."""
     try:
-        return conform(spark.read.option("mergeSchema", "true").parquet(path), schema)
+        known = commits.schema(spark, path)
+        reader = spark.read.schema(known) if known else spark.read.option("mergeSchema", "true")
+        return conform(reader.parquet(path), schema)
     except AnalysisException as exc:
         if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise

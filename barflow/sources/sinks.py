@@ -2,12 +2,14 @@
 
 Tables that grow are partitioned by asset and month (`with_month`): a batch then
 reads and rewrites only the partitions it touches, however large an asset is.
-NULL is a key and a partition like any other: it equals itself.
+NULL is a key and a partition like any other: it equals itself. Writes that depend on what
+is stored go through a commit log (`commits`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -15,13 +17,19 @@ from operator import and_
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barflow import session
 from barflow.operators.windows import dedup
+from barflow.sources import commits as CM
 from barflow.sources.readers import month_of
 from barflow.sources.schemas import RUN_LOG, conform
 
 
+# Parts that the stored keys of a table without partitions are kept in.
+KEY_BUCKETS = 64
+
+
 @dataclass(frozen=True)
 class Written:
     attempted: int
@@ -33,12 +41,13 @@ def with_month(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at a path, None before its first write."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+    """The table at a path, None before its first write. Its schema is kept with it; only foreign tables have footers read."""
+    if not CM.holds_files(spark, path):
         return None
     try:
-        return spark.read.option("mergeSchema", "true").parquet(path)
+        known = CM.schema(spark, path)
+        reader = spark.read.schema(known) if known else spark.read.option("mergeSchema", "true")
+        return reader.parquet(path)
     except AnalysisException as exc:
         if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
@@ -46,10 +55,85 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def _write(df: DataFrame, path: str, parts: Sequence[str], mode: str) -> None:
+    CM.remember(df.sparkSession, path, df.schema)
     w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     (w.partitionBy(*parts) if parts else w).parquet(path)
 
 
+def _apply(spark: SparkSession, path: str, claim: dict, again: bool) -> None:
+    """Put a claimed write into the table; `again` after a writer died, when any part of it may be there already."""
+    rows = spark.read.schema(T.StructType.fromJson(claim["schema"])).parquet(claim["staged"]) if claim.get("staged") else None
+    parts, key = claim["parts"], claim.get("key")
+    if claim["mode"] == "append":
+        if again and (old := stored(spark, path)) is not None:
+            rows = session.settle(missing_keys(rows, old, key), "again")
+        _write(rows, path, parts, "append")
+        if claim.get("index"):
+            if again:
+                CM.delete(spark, _index(path))
+                _indexed(stored(spark, path), key, path)
+            else:
+                _indexed(rows, key, path)
+        return
+    CM.delete(spark, _index(path))  # the next insert by key makes it anew
+    if rows is not None and (parts or not claim.get("whole")):
+        _write(rows, path, parts, "overwrite")
+    elif rows is not None:
+        _swap(spark, rows, path)
+    if claim.get("folders"):
+        for row in spark.read.parquet(claim["folders"]).toLocalIterator():
+            CM.delete(spark, row["folder"])
+
+
+def _swap(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Replace the files of a table without partitions; what lies in its own folder stays."""
+    fs, place = CM._place(spark, path)
+    old = [str(x.getPath()) for x in fs.listStatus(place) if not x.getPath().getName().startswith(("_", "."))] if fs.exists(place) else []
+    if rows.isEmpty():
+        rows = rows.coalesce(1)
+    _write(rows, path, (), "append")
+    for file in old:
+        CM.delete(spark, file)
+
+
+def _commit(spark: SparkSession, path: str, base: int, mode: str, rows: DataFrame | None, parts: Sequence[str], **more) -> None:
+    claim = {"mode": mode, "parts": list(parts)} | more
+    if rows is not None:
+        claim |= {"staged": CM.staged(rows, path), "schema": json.loads(rows.schema.json())}
+    CM.commit(spark, path, base, claim, _apply)
+
+
+def _retried(write: Callable[[int], None], spark: SparkSession, path: str, times: int = 20) -> None:
+    """Do a write that reads the table, again where another writer was faster."""
+    for k in range(times):
+        try:
+            return write(CM.begin(spark, path, _apply))
+        except CM.Conflict:
+            if k == times - 1:
+                raise
+
+
+def _index(path: str) -> str:
+    return f"{path}/{CM.FOLDER}/keys"
+
+
+def _bucket(key: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(KEY_BUCKETS)).cast("int").alias("_bucket")
+
+
+def _indexed(rows: DataFrame, key: Sequence[str], path: str) -> None:
+    rows.select(*key, _bucket(key)).write.mode("append").partitionBy("_bucket").parquet(_index(path))
+
+
+def _known_keys(spark: SparkSession, path: str, old: DataFrame, batch: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Stored keys in the buckets that a batch's keys fall into; a table without an index gets one."""
+    if not CM.exists(spark, _index(path)):
+        _indexed(old, key, path)
+    hit = [r[0] for r in batch.select(_bucket(key)).distinct().collect()]  # at most KEY_BUCKETS
+    kinds = T.StructType([*(old.schema[c] for c in key), T.StructField("_bucket", T.IntegerType())])
+    return spark.read.schema(kinds).parquet(_index(path)).filter(F.col("_bucket").isin(hit)).drop("_bucket")
+
+
 def _keyed(df: DataFrame, other: DataFrame, key: Sequence[str], how: str) -> DataFrame:
     names = {c: f"_k_{c}" for c in key}
     other = other.select(*[F.col(c).alias(n) for c, n in names.items()])
@@ -85,72 +169,89 @@ def _touched(table: DataFrame, batch: DataFrame, parts: Sequence[str]) -> DataFr
 def insert_if_absent(df: DataFrame, path: str, key: Sequence[str], order: Sequence[str], parts: Sequence[str] = ()) -> Written:
     """Append rows whose key is new; within the batch the first in `order` stays.
 
-    With `parts` the key must determine the partition, so only those are looked at.
+    With `parts` the key must determine the partition, so only those are looked at. Without, stored keys are kept
+    apart in buckets by hash, and only the buckets of the batch's keys are read, never the table.
     """
     spark = df.sparkSession
     tried = Observation()
     batch = session.settle(df.observe(tried, F.count(F.lit(1)).alias("n")), "batch")
-    fresh = dedup(batch, key, order)
-    old = stored(spark, path)
-    if old is not None:
-        fresh = missing_keys(fresh, _touched(old, batch, parts), key)
-    new = Observation()
-    fresh = session.settle(fresh.observe(new, F.count(F.lit(1)).alias("n")), "fresh")
-    if new.get["n"]:
-        _write(fresh, path, parts, "append")
-    return Written(tried.get["n"], new.get["n"])
+    saved = 0
+
+    def write(base: int) -> None:
+        nonlocal saved
+        fresh = dedup(batch, key, order)
+        old = stored(spark, path)
+        if old is not None:
+            known = _touched(old, batch, parts) if parts else _known_keys(spark, path, old, batch, key)
+            fresh = missing_keys(fresh, known, key)
+        new = Observation()
+        fresh = session.settle(fresh.observe(new, F.count(F.lit(1)).alias("n")), "fresh")
+        saved = new.get["n"]
+        if saved:
+            _commit(spark, path, base, "append", fresh, parts, key=list(key), index=not parts)
+
+    _retried(write, spark, path)
+    return Written(tried.get["n"], saved)
 
 
 def upsert(df: DataFrame, path: str, key: Sequence[str], order: Sequence[str], parts: Sequence[str] = ()) -> Written:
     """Insert or replace by key; within the batch the last in `order` wins.
 
-    Touched partitions are built aside and then swapped in, so the table is never
-    read and overwritten in one job.
+    Touched partitions are built aside and then swapped in by a commit, so the table is never
+    read and overwritten in one job, and two writers don't undo each other.
     """
     spark = df.sparkSession
     tried, saved = Observation(), Observation()
     one = F.count(F.lit(1)).alias("n")
     batch = session.settle(dedup(df.observe(tried, one), key, order, keep="last").observe(saved, one), "batch")
-    old = stored(spark, path)
-    merged = batch
-    if old is not None:
-        kept = missing_keys(_touched(old, batch, parts), batch, key)
-        merged = session.settle(kept.unionByName(batch, allowMissingColumns=True), "merged")
-    _write(merged, path, parts, "overwrite")
+
+    def write(base: int) -> None:
+        old = stored(spark, path)
+        merged = batch
+        if old is not None:
+            merged = missing_keys(_touched(old, batch, parts), batch, key).unionByName(batch, allowMissingColumns=True)
+        _commit(spark, path, base, "overwrite", merged, parts, whole=not parts)
+
+    _retried(write, spark, path)
     return Written(tried.get["n"], saved.get["n"])
 
 
 def replace_slice(df: DataFrame, path: str, slices: Sequence[str] = ("asset", "prediction_horizon", "target_mode")) -> None:
     """Replace whole slices (the partitions present in `df`); others stay as they are."""
+    CM.delete(df.sparkSession, _index(path))
     _write(df, path, slices, "overwrite")
 
 
 def delete_where(spark: SparkSession, path: str, predicate: Column, parts: Sequence[str] = ()) -> int:
-    """Delete matching rows, rewriting only partitions that hold some; returns their number."""
-    table = stored(spark, path)
-    if table is None:
-        return 0
-    hit = F.coalesce(predicate, F.lit(False))
-    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
-    marked = table.withColumn("_hit", hit).withColumn("_folder", folder)
-    stats = marked.groupBy("_folder").agg(
-        F.count_if("_hit").alias("gone"), F.count_if(~F.col("_hit")).alias("left")
-    ).filter(F.col("gone") > 0)
-    # One row per partition folder that loses rows.
-    rows = stats.collect()
-    partial = [r["_folder"] for r in rows if r["left"] > 0]
-    if partial and not parts:
-        kept = session.settle(table.filter(~hit), "kept")
-        kept.write.mode("overwrite").parquet(path)
-    elif partial:
-        kept = marked.filter(F.col("_folder").isin(partial) & ~F.col("_hit")).drop("_hit", "_folder")
-        _write(session.settle(kept, "kept"), path, parts, "overwrite")
-    jvm = spark._jvm
-    for r in rows:
-        if r["left"] == 0:
-            target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r["_folder"]))
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    return sum(r["gone"] for r in rows)
+    """Delete matching rows, rewriting only partitions that hold some; returns their number.
+
+    What stays of those is staged, folders that lose all rows are listed in a table, and both are one commit.
+    """
+    gone = 0
+
+    def write(base: int) -> None:
+        nonlocal gone
+        table = stored(spark, path)
+        if table is None:
+            return
+        hit = F.coalesce(predicate, F.lit(False))
+        folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+        marked = table.withColumn("_hit", hit).withColumn("_folder", folder)
+        counts = marked.groupBy("_folder").agg(F.count_if("_hit").alias("gone"), F.count_if(~F.col("_hit")).alias("left"))
+        stats = session.settle(counts.filter("gone > 0"), "folders")
+        gone = stats.agg(F.coalesce(F.sum("gone"), F.lit(0))).first()[0]
+        if not gone:
+            return
+        partial = stats.filter("left > 0").select("_folder")
+        if not parts:
+            _commit(spark, path, base, "overwrite", table.filter(~hit), parts, whole=True)
+            return
+        kept = marked.join(partial, "_folder", "left_semi").filter(~F.col("_hit")).drop("_hit", "_folder")
+        empty = CM.staged(stats.filter("left = 0").select(F.col("_folder").alias("folder")), path)
+        _commit(spark, path, base, "overwrite", kept, parts, folders=empty)
+
+    _retried(write, spark, path)
+    return gone
 
 
 def ends_with(col: str, suffix: str) -> Column:
@@ -159,6 +260,8 @@ def ends_with(col: str, suffix: str) -> Column:
 
 
 def append(df: DataFrame, path: str) -> None:
+    CM.remember(df.sparkSession, path, df.schema)
+    CM.delete(df.sparkSession, _index(path))
     df.write.mode("append").parquet(path)
 
 
