@@ -289,6 +289,30 @@ def daily_sentiment(df: DataFrame, assets: Sequence[str], ts: str = "timestamp_u
     )
 
 
+SKETCH_SIZE = 12  # 2**12 registers: a relative standard error of 1.6 %
+
+
+def coverage_sketches(df: DataFrame, keys: Sequence[str] = ("asset",), ts: str = "timestamp_utc", distinct: Sequence[str] = ("domain", "sourcecountry")) -> DataFrame:
+    """Per key and day: rows, rows with sentiment, and a mergeable sketch of each column's distinct values.
+
+    A stored day needs no second look: longer spans merge its sketches, of a few KB each whatever the number of articles.
+    """
+    return df.groupBy(*keys, F.to_date(ts).alias("day")).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count("sentiment_score").alias("with_sentiment"),
+        *[F.hll_sketch_agg(c, F.lit(SKETCH_SIZE)).alias(f"{c}_sketch") for c in distinct],
+    )
+
+
+def coverage_estimate(sketches: DataFrame, keys: Sequence[str] = ("asset",), distinct: Sequence[str] = ("domain", "sourcecountry")) -> DataFrame:
+    """`coverage_sketches` merged to fewer keys: exact counts, and distinct values up to the sketch's error (none for a few)."""
+    return sketches.groupBy(*keys).agg(
+        F.sum("total").alias("total"),
+        F.sum("with_sentiment").alias("with_sentiment"),
+        *[F.hll_sketch_estimate(F.hll_union_agg(f"{c}_sketch")).alias(f"{c}_estimate") for c in distinct],
+    )
+
+
 def coverage(df: DataFrame) -> DataFrame:
     """Articles, scored articles, distinct domains and countries per asset."""
     return df.groupBy("asset").agg(

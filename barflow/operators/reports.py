@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barflow.functions.columns import correlation, pct_change
@@ -60,6 +60,35 @@ def null_profile(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> Dat
     )
 
 
+def feature_status(df: DataFrame, expected: Sequence[str], sentiment: Sequence[str] = (), keys: Sequence[str] = ("asset",), ts: str = "ts") -> DataFrame:
+    """Per key, the expected feature columns against those that hold a value: one row, from one pass.
+
+    `missing` are expected columns without any value for that key, in the expected order; `extra` are other columns with one,
+    in the table's; both comma-joined. `valid` says that nothing is missing, `has_sentiment` that a sentiment column has a
+    value. Sentiment columns are neither expected nor extra.
+    """
+    held = [c for c in df.columns if c not in (*keys, ts)]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"_h_{i}") for i, c in enumerate(held)])
+    there = {c: F.col(f"_h_{i}") > 0 for i, c in enumerate(held)}
+
+    def named(cols: Sequence[str], wanted) -> Column:
+        return F.array_compact(F.array(*[F.when(wanted(c), F.lit(c)) for c in cols], F.lit(None).cast("string")))
+
+    missing = named(expected, lambda c: ~there.get(c, F.lit(False)))
+    extra = named([c for c in held if c not in expected and c not in sentiment], lambda c: there[c])
+    any_sentiment = reduce(lambda a, b: a | b, [there[c] for c in sentiment if c in there], F.lit(False))
+    return counts.select(
+        *keys,
+        F.col("_n").alias("n_rows"),
+        F.lit(len(expected)).cast("long").alias("n_expected"),
+        (F.lit(len(expected)) - F.size(missing)).cast("long").alias("n_present"),
+        F.array_join(missing, ",").alias("missing"),
+        F.array_join(extra, ",").alias("extra"),
+        (F.size(missing) == 0).alias("valid"),
+        any_sentiment.alias("has_sentiment"),
+    )
+
+
 def return_correlation(bars: DataFrame, assets: Sequence[str], fill: bool = True) -> DataFrame:
     """Correlation of percent changes between the given assets, rounded to 3.
 

@@ -591,3 +591,36 @@ def _(spark, sf):
     wanted = ["event_type", "event_id", "value"]
     found = [c for c in e.columns if c in wanted]
     return tidy(e.select(*SC.validate_columns(found, wanted, "events", warn=found != wanted)))
+
+
+_HELD = ("close", "ret_1", "vol_20", "dxy", "volume", "note", "sentiment_mean")
+_EXPECTED = ("ret_1", "vol_20", "dxy", "vix")
+
+
+def _status_sql():
+    def named(cols, test):
+        return f"array_to_string(list_filter([{', '.join(f'CASE WHEN {test(c)} THEN {chr(39)}{c}{chr(39)} END' for c in cols)}], lambda x: x IS NOT NULL), ',')"
+
+    gone = {c: f"count({c}) = 0" if c in _HELD else "true" for c in _EXPECTED}
+    absent = " + ".join(f"({g})::INT" for g in gone.values())
+    extra = [c for c in _HELD if c not in _EXPECTED and c != "sentiment_mean"]
+    return with_(
+        BARS_D, LR, VOL,
+        "x AS (SELECT asset, ts, close, lr AS ret_1, vol_20, CASE WHEN asset < '3' THEN close END AS dxy, volume, CASE WHEN volume > 40 THEN 1 END AS note,"
+        " CASE WHEN asset LIKE '%LOW' THEN 0.5 END AS sentiment_mean FROM v)",
+    ) + (
+        f"SELECT asset, count(*) AS n_rows, 4::BIGINT AS n_expected, (4 - ({absent}))::BIGINT AS n_present, {named(_EXPECTED, gone.get)} AS missing, "
+        f"{named(extra, lambda c: f'count({c}) > 0')} AS extra, ({absent}) = 0 AS valid, count(sentiment_mean) > 0 AS has_sentiment FROM x GROUP BY 1"
+    )
+
+
+@query("p10_feature_status", _status_sql())
+def _(spark, sf):
+    s = I.apply(B.bar_series(A.bars_daily(spark, sf)), I.lagged_returns((1,)), I.volatility())
+    df = s.frame().withColumns(
+        {
+            "dxy": F.when(F.col("asset") < "3", F.col("close")), "note": F.when(F.col("volume") > 40, 1),
+            "sentiment_mean": F.when(F.col("asset").endswith("LOW"), 0.5),
+        }
+    )
+    return R.feature_status(df.select("asset", "ts", *_HELD), _EXPECTED, ["sentiment_mean"])

@@ -455,6 +455,15 @@ def _(spark, sf):
     return N.coverage(A.articles(spark, sf))
 
 
+@query(
+    "a29_coverage_sketch",
+    with_(ARTICLES)
+    + "SELECT asset, count(*) AS total, count(sentiment_score) AS with_sentiment, count(DISTINCT domain) AS domain_estimate, count(DISTINCT sourcecountry) AS sourcecountry_estimate FROM a GROUP BY 1",
+)
+def _(spark, sf):
+    return N.coverage_estimate(N.coverage_sketches(A.articles(spark, sf)))
+
+
 @query(
     "a30_daily_counts",
     with_(ARTICLES)

@@ -14,6 +14,7 @@ from barflow.operators import bars as B
 from barflow.operators import ewm as W
 from barflow.operators import news as N
 from barflow.operators.series import arrange
+from barflow.sources import commits as CM
 from barflow.sources import sinks as SK
 from barflow.sources.normalize import shift_latency
 
@@ -70,7 +71,8 @@ def smoothed(
     smoothed by the same operator as stored data: all of it in parallel, whatever one
     asset's share. Ticks are ordered by (ts, event_id); one that is not after its asset's
     last one has come too late to be smoothed in order, and is dropped: this is the
-    watermark, an instant per asset. A repeated batch rewrites its own output and state.
+    watermark, an instant per asset. A repeated batch rewrites its own output and state;
+    states but the last two are deleted, so what is kept does not grow with the batches.
     """
     cols = ["asset", "ts", "event_id", value]
 
@@ -95,6 +97,8 @@ def smoothed(
             quiet = before.select("asset", "ts", "event_id", "smoothed").join(state, "asset", "left_anti")
             state = state.unionByName(quiet)
         state.write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
+        if batch_id > 1:  # a repeated batch starts from its predecessor's state; what is older is of no use
+            CM.delete(spark, f"{path}/state/{batch_id - 2}")
 
     return _start(ticks.writeStream.foreachBatch(save), "", checkpoint, once)
 

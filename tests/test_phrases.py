@@ -42,3 +42,20 @@ def test_a_hundred_thousand_phrases(spark):
     rows = [(f"u{k}", f"News of Name {k * 7} Corp and item{k}; or item{k + 1};") for k in range(2_000)]
     got = {(r["url"], r["asset"]): r["query"] for r in N.tag_by_phrase(spark.createDataFrame(rows, "url string, title string"), phrases).collect()}
     assert got == {(f"u{k}", "A"): f"name {k * 7} corp" for k in range(2_000)} | {(f"u{k}", "B"): f"item{k};" for k in range(2_000)}
+
+
+def test_coverage_sketches_merge_within_their_error(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(60_000).selectExpr(
+        "concat('a', id % 2) AS asset", "timestamp_seconds(1704067200 + id * 20) AS timestamp_utc", "CAST(IF(id % 3 = 0, NULL, 1) AS INT) AS sentiment_score",
+        "concat('d', id % 40000) AS domain", "concat('c', id % 9) AS sourcecountry",
+    )
+    days = N.coverage_sketches(df)
+    assert days.count() == 2 * df.select(F.to_date("timestamp_utc")).distinct().count()
+    exact = {r["asset"]: r for r in N.coverage(df).collect()}
+    for r in N.coverage_estimate(days).collect():
+        e = exact[r["asset"]]
+        assert (r["total"], r["with_sentiment"], r["sourcecountry_estimate"]) == (e["total"], e["with_sentiment"], e["countries"])
+        assert abs(r["domain_estimate"] / e["domains"] - 1) < 0.05
+    assert N.coverage_estimate(days.limit(0)).count() == 0
