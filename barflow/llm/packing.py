@@ -29,7 +29,7 @@ RANGE = 65_536
 # Rows, and bytes of their texts or ids, that a task works on at a time, or one row.
 ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 4 << 20
 # Bytes that remembered words, chunks and their ids may take with what Python adds to each, and the longest of them.
-_MOST_BYTES, _LONGEST, _OVERHEAD = 64 << 20, 64, 200
+_MOST_BYTES, _LONGEST, _OVERHEAD = 96 << 20, 64, 200
 
 
 def _byte_letters() -> dict[int, str]:
@@ -105,11 +105,11 @@ class Encoder:
 
     def _plain(self, text: str) -> bytes:
         known = self.known
-        out = []
-        for chunk in text.lower().split():
-            ids = known.get(chunk)
-            out.append(self._chunk(chunk) if ids is None else ids)
-        return b"".join(out)
+        chunks = text.lower().split()
+        found = list(map(known.get, chunks))
+        if None in found:
+            found = [known.get(c) or self._chunk(c) if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
+        return b"".join(found)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = (self.by_word and self.PLAIN.fullmatch(t) and not any(m in t for m in self.marks) for t in texts)
