@@ -124,6 +124,105 @@ def fit_ridge(train: DataFrame, keys: Sequence[str], features: Sequence[str], ta
     return stats.mapInPandas(solve, schema)
 
 
+def moments(df: DataFrame, keys: Sequence[str], cols: Sequence[str], centre: DataFrame | None = None) -> DataFrame:
+    """Sufficient statistics of `cols`: per key `n`, `sums` (p) and `products` (p * p), both of values less their centre.
+
+    `centre` has one row per key (of its own key columns, which `keys` must include) with a column for any of `cols`;
+    a value near the mean will do and keeps the products well conditioned. Where it has none or a NULL, 0 is taken off. A value that is NULL or not finite counts as its centre, as after imputation. Tasks multiply whole Arrow
+    batches and send one row per key; rows of several tables, days or runs with the same centre add up by `merge_moments`.
+    """
+    session.ship(df.sparkSession)
+    keys, cols = list(keys), list(cols)
+    near = df.select(*keys, *cols)
+    if centre is not None:
+        by = [c for c in centre.columns if c in keys]
+        known = [c for c in cols if c in centre.columns]
+        near = lookup(near, centre.select(*by, *[F.col(c).alias(f"_c_{c}") for c in known]), by)
+        near = near.withColumns({c: finite(F.col(c)) - F.coalesce(F.col(f"_c_{c}"), F.lit(0.0)) for c in known})
+    near = near.select(*keys, *[F.coalesce(finite(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in cols])
+    numbers = T.ArrayType(T.DoubleType())
+    schema = T.StructType(
+        [near.schema[k] for k in keys]
+        + [T.StructField("n", T.LongType()), T.StructField("sums", numbers), T.StructField("products", numbers)]
+    )
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            groups = batch.groupby(keys, dropna=False, sort=False).indices.items() if keys else [((), slice(None))]
+            values, found = batch[cols].to_numpy(dtype=float), []
+            for _, rows in groups:
+                x = values[rows]
+                first = batch[keys].iloc[rows[0]].tolist() if keys else []
+                found.append([*first, len(x), x.sum(axis=0).tolist(), (x.T @ x).ravel().tolist()])
+            yield pd.DataFrame(found, columns=[*keys, "n", "sums", "products"])
+
+    return merge_moments(near.mapInPandas(add_up, schema), keys)
+
+
+def merge_moments(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add up rows of `moments` per key, number by number, so that tasks combine them before the shuffle."""
+    keys = list(keys)
+    cells = F.concat(F.array(F.col("n").cast("double")), "sums", "products")
+    flat = parts.select(*keys, F.size("sums").alias("_p"), F.posexplode(cells).alias("_i", "_x"))
+    total = flat.groupBy(*keys, "_p", "_i").agg(F.sum("_x").alias("_x"))
+    whole = total.groupBy(*keys, "_p").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("_a"))
+    p = F.col("_p")
+    return whole.select(
+        *keys,
+        F.col("_a")[0].cast("long").alias("n"),
+        F.slice("_a", F.lit(2), p).alias("sums"),
+        F.slice("_a", p + 2, p * p).alias("products"),
+    )
+
+
+def ridge_of_moments(
+    stats: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, centre: DataFrame | None = None, alpha: float = 1.0
+) -> DataFrame:
+    """Ridge on standardised features from `moments` of [*features, target]; no further pass over the rows.
+
+    Scaling and centring are algebra on the sums: a feature's population deviation of 0 counts as 1, the intercept is not
+    penalised. One row per key: `n`, `intercept`, `coefficients` for `predict_linear`, in the features' own units, and
+    `means` and `deviations` as `fit_scaler` gives them. `centre` is what `moments` got.
+    """
+    session.ship(stats.sparkSession)
+    keys, features, p = list(keys), list(features), len(features)
+    if centre is not None:
+        by = [c for c in centre.columns if c in keys]
+        shift = F.array(*[F.coalesce(F.col(c).cast("double") if c in centre.columns else F.lit(None), F.lit(0.0)) for c in (*features, target)])
+        stats = lookup(stats, centre.select(*by, shift.alias("_shift")), by)
+    else:
+        stats = stats.withColumn("_shift", F.array_repeat(F.lit(0.0), p + 1))
+    stats = stats.withColumn("_shift", F.coalesce("_shift", F.array_repeat(F.lit(0.0), p + 1)))
+    numbers = T.ArrayType(T.DoubleType())
+    schema = T.StructType(
+        [stats.schema[k] for k in keys]
+        + [T.StructField("n", T.LongType()), T.StructField("intercept", T.DoubleType())]
+        + [T.StructField(c, numbers) for c in ("coefficients", "means", "deviations")]
+    )
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for n, sums, products, shift in zip(batch["n"], batch["sums"], batch["products"], batch["_shift"]):
+                off = np.asarray(sums) / n
+                spread = np.asarray(products).reshape(p + 1, p + 1) - n * np.outer(off, off)
+                mean = off + np.asarray(shift)
+                # what rounding leaves of a constant column is no deviation
+                var = np.diag(spread)[:p] / n
+                size = np.abs(np.diag(np.asarray(products).reshape(p + 1, p + 1))[:p]) / n
+                sd = np.where(var <= 1e-14 * size, 1.0, np.sqrt(np.maximum(var, 0.0)))
+                z = np.where(var <= 1e-14 * size, 0.0, 1.0) / sd
+                gram = spread[:p, :p] * np.outer(z, z) + alpha * np.eye(p)
+                w = np.linalg.solve(gram, spread[:p, p] * z) * z
+                found.append((float(mean[p] - w @ mean[:p]), w.tolist(), mean[:p].tolist(), sd.tolist()))
+            out = batch[[*keys, "n"]].copy()
+            for i, c in enumerate(("intercept", "coefficients", "means", "deviations")):
+                out[c] = [f[i] for f in found]
+            yield out
+
+    return stats.mapInPandas(solve, schema)
+
+
 def predict_linear(df: DataFrame, model: DataFrame, keys: Sequence[str], features: Sequence[str], name: str = "prediction") -> DataFrame:
     out = lookup(df, model.select(*keys, F.col("intercept").alias("_b"), F.col("coefficients").alias("_w")), list(keys))
     total = F.col("_b")

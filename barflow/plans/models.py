@@ -478,15 +478,14 @@ def ridge_all_assets(spark, sf):
     bars = A.bars_daily(spark, sf)
     s = I.apply(B.bar_series(bars), I.lagged_returns(), I.rolling_close(), I.momentum(), I.volatility())
     data = T.dataset(s.frame(), T.build(bars), SC.RIDGE, "ret_4h")
-    # Read by every fit below: computed once.
+    # Read by the medians, the sums and the metrics: computed once.
     data = session.settle(W.split(data, ["asset"], ["ts"], bound=[bars, bars]), "dataset")
     train = data.filter("split = 'train'")
     medians = M.fit_median(train, ["asset"], SC.RIDGE)
+    stats = M.moments(train, ["asset"], [*SC.RIDGE, "ret_4h"], centre=medians)
+    model = M.ridge_of_moments(stats, ["asset"], SC.RIDGE, "ret_4h", centre=medians)
     filled = M.impute(data, medians, ["asset"], SC.RIDGE)
-    scaler = M.fit_scaler(filled.filter("split = 'train'"), ["asset"], SC.RIDGE)
-    scaled = session.settle(M.scale(filled, scaler, ["asset"], SC.RIDGE), "scaled")
-    model = M.fit_ridge(scaled.filter("split = 'train'"), ["asset"], SC.RIDGE, "ret_4h")
-    out = M.predict_linear(scaled, model, ["asset"], SC.RIDGE, E.P).withColumnRenamed("ret_4h", E.Y)
+    out = M.predict_linear(filled, model, ["asset"], SC.RIDGE, E.P).withColumnRenamed("ret_4h", E.Y)
     return tidy(E.metrics(out, ["asset", "split"]), mae_vs_zero_pct=5, rmse_vs_zero_pct=5)
 
 

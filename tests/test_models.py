@@ -143,3 +143,64 @@ def test_validate_columns():
             SC.validate_columns(found, ["a", "b"])
     with pytest.warns(UserWarning):
         assert SC.validate_columns(["b", "a"], ["a", "b"], warn=True) == ["a", "b"]
+
+
+def _gaps(seed=7, n=400):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 3)) * [1.0, 50.0, 1e-3] + [0.0, 1e4, 5.0]
+    y = x @ [0.3, -0.02, 40.0] + rng.normal(size=n)
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(const=3.0, void=np.nan, y=y, asset=np.where(rng.random(n) < 0.8, "hot", "cold"))
+    pdf.loc[rng.random(n) < 0.1, "b"] = np.nan
+    pdf.loc[3, "a"] = np.inf
+    return pdf
+
+
+def _plain_ridge(pdf, features, alpha):
+    """Impute, scale and solve with numpy: means, deviations, weights in raw units, intercept."""
+    x = pdf[features].replace([np.inf, -np.inf], np.nan)
+    x = x.fillna(x.median()).fillna(0.0).to_numpy()
+    mean, sd = x.mean(axis=0), x.std(axis=0)
+    sd[sd < 1e-9] = 1.0
+    z, y = (x - mean) / sd, pdf["y"].to_numpy()
+    w = np.linalg.solve(z.T @ z + alpha * np.eye(len(features)), z.T @ (y - y.mean())) / sd
+    return mean, sd, w, y.mean() - w @ mean
+
+
+def test_ridge_from_sums_against_numpy(spark, mode):
+    features = ["a", "b", "c", "const", "void"]
+    pdf = _gaps()
+    df = spark.createDataFrame(pdf).repartition(5)
+    df = df.withColumns({c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)) for c in features})
+    medians = M.fit_median(df, ["asset"], features)
+    # the infinite value stays in what is added up, and counts as missing
+    stats = M.moments(spark.createDataFrame(pdf).repartition(3), ["asset"], [*features, "y"], medians)
+    got = {r["asset"]: r for r in M.ridge_of_moments(stats, ["asset"], features, "y", medians, alpha=0.5).collect()}
+    for asset, part in pdf.groupby("asset"):
+        mean, sd, w, b = _plain_ridge(part, features, 0.5)
+        r = got[asset]
+        assert r["n"] == len(part)
+        np.testing.assert_allclose(r["means"], mean, rtol=1e-9)
+        np.testing.assert_allclose(r["deviations"], sd, rtol=1e-7)
+        np.testing.assert_allclose(r["coefficients"], w, rtol=1e-6, atol=1e-12)
+        assert r["intercept"] == pytest.approx(b, rel=1e-6)
+
+
+def test_sums_of_parts_add_up(spark):
+    pdf = _gaps(seed=8)
+    df = spark.createDataFrame(pdf).withColumn("day", F.monotonically_increasing_id() % 7)
+    cols = ["a", "c", "y"]
+    whole = {r["asset"]: r for r in M.moments(df, ["asset"], cols).collect()}
+    daily = M.moments(df, ["asset", "day"], cols)
+    assert daily.count() == 14
+    for r in M.merge_moments(daily, ["asset"]).collect():
+        assert r["n"] == whole[r["asset"]]["n"]
+        np.testing.assert_allclose(r["sums"], whole[r["asset"]]["sums"])
+        np.testing.assert_allclose(r["products"], whole[r["asset"]]["products"])
+
+
+def test_sums_of_null_keys_and_of_nothing(spark):
+    df = spark.createDataFrame([(None, 1.0, 2.0), (None, 3.0, 4.0), ("a", None, 5.0)], "asset string, x double, y double")
+    got = {r["asset"]: (r["n"], r["sums"], r["products"]) for r in M.moments(df, ["asset"], ["x", "y"]).collect()}
+    assert got == {None: (2, [4.0, 6.0], [10.0, 14.0, 14.0, 20.0]), "a": (1, [0.0, 5.0], [0.0, 0.0, 0.0, 25.0])}
+    assert M.moments(df.limit(0), ["asset"], ["x"]).count() == 0
+    assert M.moments(df, [], ["x", "y"]).first()["n"] == 3
