@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barflow import session
 from barflow.operators import ewm as EW
 from barflow.operators import windows as W
 from barflow.operators.asof import asof_backward, asof_forward
@@ -173,6 +174,41 @@ def test_quantiles_of_ties_and_nothing(spark, mode):
     assert got == {("a", "x"): 5.0, ("a", "y"): None, ("b", "x"): None, ("b", "y"): None}
 
 
+@pytest.fixture
+def large(spark):
+    spark.conf.set(session.SINGLE_TASK_BYTES[0], "-1")
+    yield
+    spark.conf.unset(session.SINGLE_TASK_BYTES[0])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_quantiles_of_any_doubles(spark, large, seed):
+    """All magnitudes and signs, neighbouring doubles, infinities and heavy ties: what stands at the ranks, to the last bit."""
+    rng = np.random.default_rng(seed)
+    wild = rng.normal(size=300) * 10.0 ** rng.integers(-320, 300, 300)
+    near = 1.0 + np.arange(200) * 2.0**-52
+    values = np.concatenate([wild, near, -near, [0.0, -0.0, 5e-324, np.inf, -np.inf, 1.7e308, -1.7e308], np.full(150, 0.1)])
+    values = rng.permutation(values)
+    n = len(values)
+    probs = {f"r{i}": i / (n - 1) for i in range(0, n, 37)} | {"least": 0.0, "most": 1.0}
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "x": values})).repartition(6)
+    got = quantiles(df, ["k"], ["x"], probs).first().asDict()
+    ranked = np.sort(values)
+    for name, p in probs.items():
+        at = p * (n - 1)
+        lo, hi = ranked[int(np.floor(at))], ranked[int(np.ceil(at))]
+        assert got[name] == (lo if lo == hi else lo + (hi - lo) * (at - np.floor(at))), name
+
+
+def test_quantiles_read_the_rows_once_a_level(spark, large):
+    df = spark.range(40).selectExpr("id % 3 AS asset", "double(id) AS x")
+    q = quantiles(df, ["asset"], ["x"], {"a": 0.2, "b": 0.7})
+    # the last histogram, its written intervals, and the sizes for columns without a value
+    assert leaves(q) == 3
+    assert {r["column"] for r in quantiles(df, [], ["x"], {"m": 0.5}).collect()} == {"x"}
+    assert quantiles(df.limit(0), [], ["x"], {"m": 0.5}).first()["m"] is None
+
+
 def test_spine_fills_gaps(spark, mode):
     pdf = pd.DataFrame({"asset": ["a", "a", "b"], "ts": pd.to_datetime(["2024-01-01 00:00", "2024-01-01 18:00", "2024-01-02 00:00"]), "n": [1, 2, 3]})
     got = W.on_spine(spark.createDataFrame(pdf), ["asset"], "ts", "6 hours", fill={"n": 0}).orderBy("asset", "ts").collect()
