@@ -183,6 +183,30 @@ def _scan(summary: DataFrame, alphas: list[float], seed_rows: int) -> DataFrame:
     return session.settle(parts.drop("_firsts").join(seeds, SID, "left"), "carries")
 
 
+def compose(df: DataFrame, key: str, stretch: str, j: Column, x: str, z: str, alpha: float, name: str) -> DataFrame:
+    """Add `name`, the recurrence along each key, to rows that hold it within stretches only.
+
+    `stretch` numbers a key's stretches in order, `j` a stretch's rows with a value from 0, and `z` is the recurrence
+    from zero within the stretch, NULL where `x` is. One summary row per stretch is scanned in two levels and joined back;
+    `df` is read twice, so it should be a stored table.
+    """
+    here = F.col(z).isNotNull()
+    # NULL is a key as well, and joins compare by equality
+    sid = F.when(F.col(key).isNull(), "n").otherwise(F.concat(F.lit("v"), F.col(key).cast("string")))
+    rows = df.withColumns({SID: sid, "_u": F.col(stretch), "_j": j, f"_z_{name}": F.col(z)})
+    first = F.struct(F.col("_j").alias("j"), F.array(x).alias("x"))
+    summary = rows.groupBy(SID, "_u").agg(
+        F.count(F.when(here, 1)).alias("n"),
+        F.array(F.coalesce(F.max_by(z, F.when(here, F.col("_j"))), F.lit(0.0))).alias("z"),
+        F.collect_list(F.when(here & (F.col("_j") == 0), first)).alias("firsts"),
+    )
+    carried = _scan(summary.withColumn(BLK, F.lit(0).cast("bigint")), [alpha], 1).drop(BLK)
+    both = rows.join(carried, [SID, "_u"])
+    k = F.col("_before") + F.col("_j")
+    out = both.withColumn(name, F.when(here, _whole(name, alpha, F.col("_y")[0], F.col("_first")[0], F.col("_j"), k, 1)))
+    return out.drop(SID, "_u", "_j", "_before", "_y", "_first", f"_z_{name}")
+
+
 def span(n: int) -> float:
     return 2.0 / (n + 1.0)
 

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from barflow.operators import bars as B
-from barflow.operators import ewm as W
 from barflow.operators import news as N
-from barflow.operators.series import arrange
-from barflow.sources import commits as CM
 from barflow.sources import sinks as SK
 from barflow.sources.normalize import shift_latency
+from barflow.streaming.smoothing import read_smoothed, smoothed
+
+__all__ = ["bars", "hourly_sentiment", "read_smoothed", "smoothed", "unique_articles", "watch"]
 
 
 def _start(writer, path: str, checkpoint: str, once: bool) -> StreamingQuery:
@@ -61,52 +61,6 @@ def unique_articles(
     return _start(seen.writeStream.foreachBatch(save), "", checkpoint, once)
 
 
-def smoothed(
-    ticks: DataFrame, path: str, checkpoint: str, alpha: float, value: str = "price", once: bool = False
-) -> StreamingQuery:
-    """Exponentially weighted value per asset across micro-batches.
-
-    The last value of each asset is kept as a small table per batch. A batch starts
-    from its predecessor's row, which takes the place of the first value, and is
-    smoothed by the same operator as stored data: all of it in parallel, whatever one
-    asset's share. Ticks are ordered by (ts, event_id); one that is not after its asset's
-    last one has come too late to be smoothed in order, and is dropped: this is the
-    watermark, an instant per asset. A repeated batch rewrites its own output and state;
-    states but the last two are deleted, so what is kept does not grow with the batches.
-    """
-    cols = ["asset", "ts", "event_id", value]
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = SK.stored(spark, f"{path}/state/{batch_id - 1}") if batch_id else None
-        rows = batch.select(*cols).withColumn("_seed", F.lit(0))
-        if before is not None:
-            last = before.select("asset", F.struct("ts", "event_id").alias("_at"))
-            after = F.col("_at").isNull() | (F.struct("ts", "event_id") > F.col("_at"))
-            rows = rows.join(last, "asset", "left").filter(after).drop("_at")
-            rows = rows.unionByName(before.withColumn("_seed", F.lit(1)).withColumnRenamed("smoothed", value), allowMissingColumns=True)
-        s = arrange(rows, ["asset"], ["ts", "event_id"])
-        out = W.ewm(s, {"smoothed": (F.col(value), alpha)}, F.col(value).isNotNull()).frame()
-        target = f"{path}/rows/batch={batch_id}"
-        out.filter("_seed = 0").drop("_seed").write.mode("overwrite").parquet(target)
-        ends = spark.read.parquet(target).filter(F.col("smoothed").isNotNull())
-        state = ends.groupBy("asset").agg(
-            F.max(F.struct("ts", "event_id")).alias("_at"), F.max_by("smoothed", F.struct("ts", "event_id")).alias("smoothed")
-        ).select("asset", "_at.ts", "_at.event_id", "smoothed")
-        if before is not None:
-            quiet = before.select("asset", "ts", "event_id", "smoothed").join(state, "asset", "left_anti")
-            state = state.unionByName(quiet)
-        state.write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
-        if batch_id > 1:  # a repeated batch starts from its predecessor's state; what is older is of no use
-            CM.delete(spark, f"{path}/state/{batch_id - 2}")
-
-    return _start(ticks.writeStream.foreachBatch(save), "", checkpoint, once)
-
-
-def read_smoothed(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/rows").drop("batch")
-
-
 def watch(spark: SparkSession, folder: str, pattern: str, files_per_batch: int | None = None) -> DataFrame:
     """Parquet files arriving in a folder; zoneless times mean UTC."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
