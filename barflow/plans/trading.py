@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barflow.functions import columns as C
 from barflow.functions.output import tidy
 from barflow.operators import bars as B
+from barflow.operators import correlation as CR
 from barflow.operators import evaluation as E
 from barflow.operators import indicators as I
 from barflow.operators import reports as R
@@ -423,17 +424,21 @@ CORR_SQL = (
 )
 
 
-@query(
-    "a19_correlation",
-    with_(BARS_H, CORR_SQL)
-    + " UNION ALL ".join(
-        f"SELECT '{a}' AS asset_a, '{b}' AS asset_b, {rd(f'round(corr({a}, {b}), 3)', 'corr')} FROM pc" for a in TYPES for b in TYPES
-    ),
+A19 = with_(BARS_H, CORR_SQL) + " UNION ALL ".join(
+    f"SELECT '{a}' AS asset_a, '{b}' AS asset_b, {rd(f'round(corr({a}, {b}), 3)', 'corr')} FROM pc" for a in TYPES for b in TYPES
 )
+
+
+@query("a19_correlation", A19)
 def _(spark, sf):
     return tidy(R.return_correlation(A.bars_hourly(spark, sf), TYPES))
 
 
+@query("a19_correlation_all", A19)
+def _(spark, sf):
+    return tidy(CR.correlations(A.bars_hourly(spark, sf)))
+
+
 @query(
     "a32_null_profile",
     with_(BARS_H, LR, VOL)
