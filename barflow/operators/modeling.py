@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from barflow import session
 from barflow.functions.columns import finite
 from barflow.operators.quantiles import quantiles
-from barflow.operators.series import lookup, null_safe_join
+from barflow.operators.series import arrange, lookup, null_safe_join
 
 
 def fit_median(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -253,6 +253,47 @@ def score_sequences(
     return df.mapInPandas(run, schema)
 
 
+def score_series(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], features: Sequence[str],
+    make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], length: int = 64, name: str = "prediction", block_rows: int = 65_536,
+) -> DataFrame:
+    """Score the last `length` rows at each row of a series with a pluggable model; rows with fewer before them are dropped.
+
+    The model takes windows x steps x features, as in `score_sequences`, but a row goes to Python once and not once for
+    each window it is part of: blocks of a series, with the rows before them that their first windows reach back to, are
+    cut into overlapping views there, about a million numbers at a time. A hot key is many blocks. A missing feature is
+    NaN for the model; `make_model()` runs once per block. Put the split among the keys so that no window crosses it.
+    """
+    session.ship(df.sparkSession)
+    group = [f"_g{i}" for i in range(len(keys))]
+    n = F.lit(block_rows)
+    at = arrange(df, keys, order).position("_p").frame()
+    own = F.floor(F.col("_p") / n)
+    # a row is needed in its own block and in those that begin less than `length` rows after it
+    spread = at.withColumn("_b", F.explode(F.sequence(own, F.floor((F.col("_p") + (length - 1)) / n))))
+    spread = spread.withColumns(dict(zip(group, (F.struct(k) for k in keys))))  # NULL is a key
+    # whole numbers pass as text: pandas makes them doubles where one is missing
+    whole = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
+    spread = spread.withColumns({c: F.col(c).cast("string") for c in whole})
+    schema = T.StructType([*(spread.schema[c] for c in df.columns), T.StructField(name, T.DoubleType())])
+    columns, at_once = df.columns, max(1, 1_000_000 // (length * max(1, len(features))))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_p", ignore_index=True)
+        out = rows[columns].iloc[length - 1 :].copy()
+        if not len(out):
+            out[name] = pd.Series(dtype=float)
+            return out
+        x = rows[list(features)].astype(float).to_numpy()
+        windows = np.lib.stride_tricks.sliding_window_view(x, length, axis=0).swapaxes(1, 2)
+        model = make_model()
+        out[name] = np.concatenate([np.asarray(model(windows[i : i + at_once]), dtype=float) for i in range(0, len(windows), at_once)])
+        return out  # rows of earlier blocks are length - 1 at most
+
+    scored = spread.groupBy(*group, "_b").applyInPandas(run, schema)
+    return scored.withColumns({c: F.col(c).cast(kind) for c, kind in whole.items()})
+
+
 def linear_model(weights: Sequence[float], intercept: float = 0.0) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
     """Default model: a linear map of the last step."""
     def make():

@@ -511,7 +511,7 @@ def _(spark, sf):
     F_SQL + f", {SPLIT}, {SEQ.replace('close, list', 'close, p, list')} SELECT asset, split, {ts()}, {rd('0.5 * close - 2 * p + 1', 'prediction')} FROM q WHERE c = 64",
 )
 def _(spark, sf):
-    out = M.score_sequences(_sequences(spark, sf), M.linear_model([0.5, -2.0], 1.0))
+    out = M.score_series(_split(spark, sf), ["asset", "split"], ["ts"], ["close", E.P], M.linear_model([0.5, -2.0], 1.0))
     return tidy(out.select("asset", "split", "ts", "prediction"))
 
 
