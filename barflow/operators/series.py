@@ -91,22 +91,33 @@ class Series:
     def running(self, reverse: bool = False, **specs: tuple[str, Column]) -> "Series":
         """Columns over the frame from the series start (or end, `reverse`) to each row.
 
-        A spec is (kind, column); kinds: sum, count, max, min, last. `last` is the
-        nearest non-NULL value, which forward-fills, or back-fills when reversed.
+        A spec is (kind, column); kinds: sum, count, max, min, last, peak. `last` is the
+        nearest non-NULL value, which forward-fills, or back-fills when reversed. `peak` is the
+        highest running sum so far: one call, so one pass, where a sum and its maximum would take two.
         In blocks the rows are written with what their block comes to so far, and
         every block's total next to them: calls that follow each other read one table each.
         """
         w = self._window(reverse).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        peaks = [n for n, (kind, _) in specs.items() if kind == "peak"]
+        plain = {n: spec for n, spec in specs.items() if n not in peaks} | {f"_s_{n}": ("sum", specs[n][1]) for n in peaks}
+        rows = self.df.withColumns({n: _over(kind, c).over(w) for n, (kind, c) in plain.items()})
+        if peaks:
+            rows = rows.withColumns({n: F.max(f"_s_{n}").over(w) for n in peaks}).drop(*[f"_s_{n}" for n in peaks])
         if not self.blocked:
-            cols = {n: _over(kind, c).over(w) for n, (kind, c) in specs.items()}
-            return replace(self, df=self.df.withColumns(cols))
+            return replace(self, df=rows)
         on = self._inner
-        local = session.settle(self.df.withColumns({n: _over(kind, c).over(w) for n, (kind, c) in specs.items()}), "running")
-        totals = local.groupBy(*on).agg(*[_total(kind, c, reverse).alias(f"_t_{n}") for n, (kind, c) in specs.items()])
-        carries = _carried(session.settle(totals, "totals"), {n: kind for n, (kind, _) in specs.items()}, reverse)
+        local = session.settle(rows, "running")
+        totals = local.groupBy(*on).agg(
+            *[_total(kind, c, reverse).alias(f"_t_{n}") for n, (kind, c) in plain.items()], *[F.max(n).alias(f"_t_{n}") for n in peaks]
+        )
+        totals = session.settle(totals, "totals")
+        carries = _carried(totals, {n: kind for n, (kind, _) in plain.items()}, reverse)
+        if peaks:  # a block's peak stands on the sum of the blocks before it
+            lifted = totals.join(carries, on).select(*on, *[_lifted(F.col(f"_t_{n}"), n).alias(f"_t_{n}") for n in peaks])
+            carries = session.settle(carries.join(_carried(lifted, dict.fromkeys(peaks, "max"), reverse), on), "carries")
         out = local.join(carries, on, "left").withColumns(
-            {n: _combine(kind, F.col(n), F.col(f"_c_{n}")) for n, (kind, _) in specs.items()}
-        ).drop(*[f"_c_{n}" for n in specs])
+            {n: _combine("max", _lifted(F.col(n), n), F.col(f"_c_{n}")) if kind == "peak" else _combine(kind, F.col(n), F.col(f"_c_{n}")) for n, (kind, _) in specs.items()}
+        ).drop(*[f"_c_{n}" for n in (*plain, *peaks)])
         return replace(self, df=out)
 
     def fixed(self) -> "Series":
@@ -208,6 +219,10 @@ def _total(kind: str, c: Column, reverse: bool, by: str = POS) -> Column:
     return pick(c, F.when(c.isNotNull(), F.col(by)))
 
 
+def _lifted(peak: Column, name: str) -> Column:
+    return _combine("sum", peak, F.col(f"_c__s_{name}"))
+
+
 def _combine(kind: str, local: Column, carry: Column) -> Column:
     if kind == "last":
         return F.coalesce(local, carry)

@@ -286,7 +286,7 @@ def _(spark, sf):
     + f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {rd(f'sum(net_pnl) OVER (PARTITION BY exit_reason ORDER BY {TIE_SQL} ROWS UNBOUNDED PRECEDING)', 'cum_net_pnl', 5)} FROM t",
 )
 def _(spark, sf):
-    out = TR.cumulative(A.trades(spark, sf), ["exit_reason"], TIES, ["net_pnl"])
+    out = TR.cumulative(A.trades(spark, sf).select("exit_reason", *TIES, "net_pnl"), ["exit_reason"], TIES, ["net_pnl"])
     return tidy(out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cum_net_pnl"), digits=5)
 
 
@@ -294,8 +294,10 @@ CURVE = f"""c AS (SELECT *, 1000000 + sum(net_pnl) OVER (PARTITION BY exit_reaso
 d AS (SELECT *, max(pv) OVER (PARTITION BY exit_reason ORDER BY {TIE_SQL} ROWS UNBOUNDED PRECEDING) AS peak FROM c)"""
 
 
-def _curve(spark, sf):
-    s = W.arrange(A.trades(spark, sf), ["exit_reason"], TIES).running(_c=("sum", F.col("net_pnl")))
+def _curve(spark, sf, **more):
+    # rows are written and sorted: with the columns of the curve alone
+    t = A.trades(spark, sf).select("exit_reason", *TIES, "net_pnl")
+    s = W.arrange(t, ["exit_reason"], TIES).running(_c=("sum", F.col("net_pnl")), **more)
     return s.map(lambda d: d.withColumn("portfolio_value", F.col("_c") + 1_000_000).drop("_c"))
 
 
@@ -305,8 +307,8 @@ def _curve(spark, sf):
     + f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {rd('peak', 'peak', 5)}, {rd('(pv - peak) / greatest(peak, 1e-9) * 100', 'drawdown_pct')} FROM d",
 )
 def _(spark, sf):
-    # the curve's series already has the order: no second sort
-    s = _curve(spark, sf).running(peak=("max", F.col("portfolio_value")))
+    # sum and peak in one call: one pass over the rows; adding the capital keeps the order of sums, so the peak is the same
+    s = _curve(spark, sf, peak=("peak", F.col("net_pnl"))).map(lambda d: d.withColumn("peak", F.col("peak") + 1_000_000))
     out = s.frame().withColumn(
         "drawdown_pct", (F.col("portfolio_value") - F.col("peak")) / F.greatest("peak", F.lit(1e-9)) * 100
     )
@@ -330,7 +332,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     out = TR.side_bias(
-        A.trades(spark, sf), ["exit_reason"], TIES, side="F", strength="risk_reward_ratio", override=0.05
+        A.trades(spark, sf).select("exit_reason", *TIES, "side", "risk_reward_ratio"), ["exit_reason"], TIES, side="F", strength="risk_reward_ratio", override=0.05
     )
     return tidy(out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "n_recent", "side_ratio", "blocked"))
 

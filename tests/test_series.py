@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from barflow import session
 from barflow.operators import ewm as EW
+from barflow.operators import series
 from barflow.operators import windows as W
 from barflow.operators.asof import asof_backward, asof_forward
 from barflow.operators.quantiles import quantiles
 from barflow.operators.series import arrange
+from barflow.plans import registry, trading
 
 
 def walk(n=120, seed=42, assets=("a", "b", "c"), null_share=0.2):
@@ -85,6 +87,56 @@ def test_running(spark, mode, reverse):
         same(got[c], pdf[c])
 
 
+@pytest.mark.parametrize("reverse", [False, True])
+def test_peak_of_the_running_sum(spark, mode, reverse, monkeypatch):
+    """The same as a running sum and then its running maximum, over several groups of blocks, leading NULLs and NULL keys."""
+    monkeypatch.setattr(series, "BLOCKS_PER_GROUP", 2)
+    rng = np.random.default_rng(5)
+    xs = [None] * 20 + [None if k % 9 == 0 else float(x) for k, x in enumerate(rng.normal(size=100) * 1e3)]
+    rows = [(a, i, x) for a in ("a", None) for i, x in enumerate(xs)] + [("c", i, None) for i in range(9)] + [("d", 0, -1.0)]
+    s = arrange(spark.createDataFrame(rows, "asset string, ts int, x double"), ["asset"], ["ts"])
+    want = s.running(reverse=reverse, s=("sum", F.col("x"))).running(reverse=reverse, hi=("max", F.col("s"))).frame()
+    got = s.running(reverse=reverse, hi=("peak", F.col("x")), s=("sum", F.col("x"))).frame()
+    cols = ("asset", "ts", "x", "s", "hi")
+    key = lambda r: (str(r["asset"]), r["ts"])
+    have, due = (sorted(df.select(*cols).collect(), key=key) for df in (got, want))
+    assert have == due and len(have) == len(rows) and any(r["hi"] > r["s"] for r in have if r["s"] is not None)
+
+
+def scratch_tables(monkeypatch):
+    """Label and path of every scratch table from here on."""
+    made, scratch = [], session.scratch
+
+    def watch(spark, label):
+        path = scratch(spark, label)
+        made.append((label, path))
+        return path
+
+    monkeypatch.setattr(session, "scratch", watch)
+    return made
+
+
+def test_the_drawdown_writes_its_rows_twice(spark, monkeypatch):
+    """Once in order and once with the sums of their block, with no column that the curve does not need."""
+    spark.conf.set(session.SINGLE_TASK_BYTES[0], "-1")
+    spark.conf.set(session.BLOCK_ROWS[0], "61")
+    trades = spark.createDataFrame(
+        [("R" if i % 3 else None, "F", i % 40, float(i % 7 - 3), 1.0, 1.0, 1.0, 1.0, i, 1, 2, 3) for i in range(900)],
+        "exit_reason string, side string, exit_time int, net_pnl double, notional_value double, transaction_cost_total double, "
+        "holding_bars double, risk_reward_ratio double, l_orderkey int, l_linenumber int, l_partkey int, l_suppkey int",
+    )
+    monkeypatch.setattr(trading.A, "trades", lambda spark, sf: trades)
+    made = scratch_tables(monkeypatch)
+    try:
+        assert registry.queries()["w26_drawdown"](spark, "").count() == 900
+    finally:
+        for option, _ in (session.SINGLE_TASK_BYTES, session.BLOCK_ROWS):
+            spark.conf.unset(option)
+    large = [df for df in (spark.read.parquet(path) for _, path in made) if df.count() == 900]
+    assert len(large) == 2
+    assert not {c for df in large for c in df.columns} & {"side", "notional_value", "transaction_cost_total", "holding_bars", "risk_reward_ratio"}
+
+
 @pytest.mark.parametrize("alpha", [0.02, 1 / 14, 0.2, 0.9])
 def test_ewm_matches_the_recurrence(spark, mode, alpha):
     pdf = walk(400, null_share=0.0)
