@@ -70,6 +70,8 @@ class Encoder:
         self.words = re.compile(self.SPLIT.replace(r"\p{L}", letters).replace(r"\p{N}", numbers))
         self.marks = [x["content"] for x in rules.get("added_tokens", [])]
         self.model = self.tokenizer.model
+        # words of one token share its bytes
+        self.tokens = [k.to_bytes(4, "little") for k in range(max(self.tokenizer.get_vocab().values(), default=-1) + 1)]
         self.bytes = _byte_letters()
         self.known: dict[str, bytes] = {}
         self.held = 0
@@ -78,8 +80,9 @@ class Encoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
-        return np.asarray([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        made = self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes))
+        tokens = self.tokens
+        return tokens[made[0].id] if len(made) == 1 else b"".join([tokens[t.id] for t in made])
 
     def _keep(self, part: str, ids: bytes) -> None:
         if len(part) <= _LONGEST:
@@ -90,16 +93,26 @@ class Encoder:
             self.known[part] = ids
 
     def _chunk(self, chunk: str) -> bytes:
-        """Ids of what stands between spaces: cut into words, each new word goes through the tokenizer's model."""
-        out = []
-        for found in self.words.finditer(chunk):
-            word = found[0]
+        """Ids of what stands between spaces: cut into words, each new word goes through the tokenizer's model.
+
+        A chunk of several words is remembered once all of them are: most new words come once, and so do their chunks.
+        """
+        if chunk.isalpha():
+            self._keep(chunk, ids := self._word(chunk))
+            return ids
+        if chunk[:-1].isalpha() and not chunk[-1].isnumeric():
+            words = (chunk[:-1], chunk[-1])
+        else:
+            words = self.words.findall(chunk)
+        out, new = [], False
+        for word in words:
             ids = self.known.get(word)
             if ids is None:
                 self._keep(word, ids := self._word(word))
+                new = True
             out.append(ids)
         ids = out[0] if len(out) == 1 else b"".join(out)
-        if len(out) != 1:
+        if len(out) != 1 and not new:
             self._keep(chunk, ids)
         return ids
 

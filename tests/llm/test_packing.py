@@ -100,3 +100,17 @@ def test_the_cache_is_bounded_by_bytes(monkeypatch):
     assert max(map(len, encoder.known)) <= 64
     assert made[2] == np.asarray(plain.encode(texts[2], add_special_tokens=False).ids, "<u4").tobytes()
     assert made[0][-400:] == np.asarray(plain.encode("ab,cd." * 200, add_special_tokens=False).ids, "<u4").tobytes()[-400:]
+
+
+def test_a_chunk_is_remembered_once_its_words_are(monkeypatch):
+    """A new word costs one look-up and one place, whatever stands next to it; the ids are the tokenizer's either time."""
+    encoder = packing.Encoder(queries.tokenizer())
+    calls, word = [], encoder._word
+    monkeypatch.setattr(encoder, "_word", lambda w: calls.append(w) or word(w))
+    texts = ["thanstti, été! thanstti² don't x's", "a_b--c 12 thanstti.", "ªº\xad ñandú\xb7 y1 '' 's ½"]
+    due = [np.asarray(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == due
+    assert calls.count("thanstti") == 1 and "thanstti" in encoder.known and "thanstti," not in encoder.known
+    assert encoder.encode(texts) == due == encoder.encode(texts)
+    assert len(calls) == len(set(calls)) and "thanstti," in encoder.known
+    assert encoder.known["thanstti,"] == encoder.known["thanstti"] + encoder.known[","]
